@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, token_counts, toxicity
+from . import bpe, langid, order_minhash, packing, phrase_dedup, suffix_dedup, token_counts, toxicity
 from .common import Tables
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -34,12 +34,26 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark, "op7")
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return packing.pack(tables.save(cut), tables).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents"), Tables(spark, "op8"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = phrase_dedup.dedup(table(spark, sf_dir, "documents"), Tables(spark, "op9"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -47,6 +61,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op4_byte_bpe, op5_toxicity, op7_packing, op10_token_counts)
+    f.__name__: f for f in (op3_language_id, op4_byte_bpe, op5_toxicity, op6_order_minhash, op7_packing, op8_suffix_dedup, op9_phrase_dedup, op10_token_counts)
 }
 SQL: dict[str, str] = {}
