@@ -91,3 +91,17 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 50)
             stars = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
             return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def tiles_of(block: Column, blocks: Column) -> Column:
+    """The pairs (x, y) of blocks that a block takes part in, so that each pair of 0 .. blocks - 1 comes once.
+
+    A block meets itself and the following half of the circle of blocks, which gives every block equal work.
+    """
+    half = F.floor(blocks / 2).cast("int")
+    steps = F.sequence(F.lit(0), half)
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    both = F.concat(F.transform(steps, lambda s: pair(block, F.pmod(block + s, blocks))), F.transform(steps, lambda s: pair(F.pmod(block - s, blocks), block)))
+    # half way round an even circle a pair would come from both its blocks
+    once = lambda p: (p["x"] == p["y"]) | (blocks % 2 == 1) | (F.pmod(p["y"] - p["x"], blocks) != half) | (p["x"] < p["y"])
+    return F.array_distinct(F.filter(both, once))

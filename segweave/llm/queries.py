@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, order_minhash, packing, phrase_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe, embed_dedup, langid, ngram_join, order_minhash, packing, phrase_dedup, suffix_dedup, token_counts, toxicity
 from .common import Tables
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), Tables(spark, "op1")).select("doc_id", "n_links", "component_id", "kept")
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(table(spark, sf_dir, "embeddings"), Tables(spark, "op2"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +69,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op4_byte_bpe, op5_toxicity, op6_order_minhash, op7_packing, op8_suffix_dedup, op9_phrase_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_order_minhash, op7_packing, op8_suffix_dedup, op9_phrase_dedup, op10_token_counts)
 }
 SQL: dict[str, str] = {}

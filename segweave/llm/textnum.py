@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, which: str) -> np.ndarray:
-    have = _POWERS.get(which)
+    have, n = _POWERS.get(which), int(n)
     if have is None or len(have) < n:
         size = max(1 << 12, 1 << (n - 1).bit_length())
         out = np.full(size, BASE if which == "up" else BASE_INV, dtype=np.uint64)
