@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -39,6 +40,9 @@ class Tables:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.parquet(path)
+        # the shuffle files of the finished step go when the driver's handles on them are collected
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def save(self, df: DataFrame) -> DataFrame:

@@ -72,15 +72,15 @@ def band_hashes(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
-    """row, row2, rank, node (hash of the gram set, null where it is empty), bands."""
+    """rank, row, node (hash of the gram set, null where it is empty), bands."""
 
     def run(batch):
-        sets = [grams(t, n) for t in batch.column(3).to_pylist()]
+        sets = [grams(t, n) for t in batch.column(2).to_pylist()]
         nodes = [int(mix(np.array([len(s)], np.uint64) + mix(s).sum(dtype=np.uint64)).view(np.int64)[0]) if len(s) else None for s in sets]
         made = [band_hashes(s, bands, per_band).view(np.int64) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], [*KEY, "rank", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], [*KEY, "node", "bands"])
 
-    return map_rows(rows.select(*KEY, "rank", "text"), run, "row long, row2 long, rank long, node long, bands array<long>", 256)
+    return map_rows(rows.select(*KEY, "text"), run, "rank long, row long, node long, bands array<long>", 256)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -114,17 +114,17 @@ def verified(left: list[np.ndarray], right: list[np.ndarray] | None, threshold:
 
 
 def join(docs: DataFrame, tables: Tables, threshold: float = 0.8, n: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(row, row2, id, n_links, component_id, kept) of every row; row and row2 are those of ``numbered``."""
+    """(rank, row, id, n_links, component_id, kept) of every row; rank and row are those of ``numbered``."""
     bands, per_band = plan_bands(threshold, recall)
     rows = numbered(docs, id_col, text_col)
     signed = tables.save(signatures(rows, n, bands, per_band))
-    classes = tables.save(signed.where("node is not null").groupBy("node").agg(F.min(F.struct("rank", *KEY)).alias("head"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    classes = tables.save(signed.where("node is not null").groupBy("node").agg(F.min(F.struct(*KEY)).alias("head"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     each = classes.select("node", F.explode("bands").alias("band"))
     buckets = each.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1")
     edges = each.join(buckets, "band").select(F.col("node").alias("u"), F.col("least").alias("v"))
     near = connected_components(edges, tables)  # (node, component)
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    some = near.join(sizes, "component").join(classes.select("node", "n", "head.row", "head.row2"), "node")
+    some = near.join(sizes, "component").join(classes.select("node", "n", "head.rank", "head.row"), "node")
 
     def sets(batch):
         made = [grams(t, n).astype("<u8").tobytes() for t in batch.column(4).to_pylist()]
@@ -174,7 +174,7 @@ def join(docs: DataFrame, tables: Tables, threshold: float = 0.8, n: int = 5, re
     stays = placed.groupBy("component").agg(F.min("head").alias("stay"))
     answers = placed.join(stays, "component").select("node", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links"), "stay")
     done = signed.drop("bands").join(answers, "node", "left")
-    own = F.struct("rank", *KEY)
+    own = F.struct(*KEY)
     kind = docs.schema[id_col].dataType
     null_id = lambda c: F.when(c != (1 << 63) - 1, c).cast(kind)
     return done.select(*KEY, null_id(F.col("rank")).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), null_id(F.coalesce("stay.rank", "rank")).alias("component_id"), (F.col("stay").isNull() | (F.col("stay") == own)).alias("kept"))

@@ -89,7 +89,7 @@ def located(contexts: list[Context], width: int, gram: int) -> list[list[tuple[i
     return out
 
 
-def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048) -> DataFrame:
+def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 1024) -> DataFrame:
     """(id, n_words, n_removed, removed (array of first word, end), kept (text)) of every row."""
     units = Units(True, width, min(GRAM, width))
     found = find(numbered(docs, id_col, text_col), units, partial(located, width=width, gram=units.gram), tables, hot).where("least < rank")

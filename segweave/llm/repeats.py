@@ -5,17 +5,18 @@ inside it. Equal windows have equal anchors at equal places, so only windows who
 those with different anchors need never meet. Consecutive windows under one anchor occurrence form a *run*; the units
 that a run's windows cover are its *context*. The steps:
 
-1. ``anchors``: one pass over all texts writes a row per run, about two per ``width`` units.
-2. Anchors that occur once are dropped; runs under the others are joined back to the texts.
-3. ``contexts``: each run is cut from its text. Equal contexts within a task are sent once, so copies are collapsed
-   before any shuffle; what remains is one context per task and distinct content.
-4. ``compare``: a kernel compares the distinct contexts of each anchor and says which of their windows repeat. The
-   windows of an anchor with more than ``HOT`` distinct contexts are dealt by their own 128-bit hashes over all tasks
-   and counted there, with partial counts before the shuffle, so no anchor has to fit into a task.
-5. The answers go back along (anchor, context) to the documents.
-
-Rows are known by two 64-bit hashes of id and text, so rows with one id and different texts stay apart, and equal rows
-get equal answers.
+1. ``runs_of``: one pass over all texts writes a row of numbers per run, about two per ``width`` units, with the
+   anchor and a hash of the context. Runs whose anchor occurs once are dropped.
+2. Runs with equal contexts are one *kind*, counted with partial counts before the shuffle. Where an anchor has one kind
+   only, all its windows occur as often as the kind, and no text has to move.
+3. For the other anchors the context of each kind is cut once, from one text that holds it.
+4. ``compare``: a kernel compares the kinds of each anchor and says which of their windows repeat. The windows of an
+   anchor with more than ``HOT`` kinds are dealt by their own 128-bit hashes over all tasks and counted there, so no
+   anchor has to fit into a task.
+5. The answers go back along (anchor, kind) to the runs.
+
+Rows are known by their id and a 64-bit hash of their text, so rows with one id and different texts stay apart, and
+equal rows get equal answers. Anchor and context hash tell contexts apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import Tables, map_rows
-from .textnum import byte_gram_hashes, gram_hashes, window_argmin, word_hashes, word_spans
+from .textnum import BYTE_CODES, GRAM_CODES, U, byte_gram_hashes, gram_hashes, mix, powers, window_argmin, word_hashes, word_spans
 
-HOT = 2048
-KEY = ["row", "row2"]
+HOT = 1024
+KEY = ["rank", "row"]
 WINDOW = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("least", pa.int64()), ("n", pa.int64())])
 WINDOWS = "array<struct<start:int,end:int,least:long,n:long>>"
 
@@ -47,18 +48,25 @@ class Units:
     gram: int
 
     def runs(self, text: str | None) -> tuple[np.ndarray, ...]:
-        """Of each run: anchor hash, anchor position, first window, last window (in units)."""
+        """Of each run: anchor hash, context hash, anchor position, first window, last window (in units)."""
         data = bytes_of(text)
         if self.words:
-            starts, ends = word_spans(data)
-            grams = gram_hashes(word_hashes(data, starts, ends), self.gram)
+            units = word_hashes(data, *word_spans(data))
+            grams = gram_hashes(units, self.gram)
         else:
+            units = BYTE_CODES[data]
             grams = byte_gram_hashes(data, self.gram)
         at = window_argmin(grams, self.width - self.gram + 1)
         if not len(at):
-            return (np.empty(0, np.int64),) * 4
+            return (np.empty(0, np.int64),) * 5
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return grams[at[first]].view(np.int64), at[first], first, np.append(first[1:], len(at)) - 1
+        last = np.append(first[1:], len(at)) - 1
+        place = at[first]
+        summed = np.zeros(len(units) + 1, np.uint64)
+        np.cumsum(mix(units) * powers(len(units), "up"), out=summed[1:])
+        content = (summed[last + self.width] - summed[first]) * powers(len(units), "down")[first]
+        kind = mix(content + (place - first).astype(np.uint64) * GRAM_CODES[1] + (last - first).astype(np.uint64) * GRAM_CODES[2])
+        return grams[place].view(np.int64), kind.view(np.int64), place, first, last
 
     def cutter(self, text: str | None) -> Callable[[int, int], bytes]:
         """Gives the units from one up to another, words with a blank between."""
@@ -75,51 +83,37 @@ def bytes_of(text: str | None) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """row, row2, rank (the id; null as greatest) and text, after the columns ``more``."""
-    return docs.select(*more, F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.xxhash64(F.lit(7), F.col(text_col), F.col(id_col)).alias("row2"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.col(text_col).alias("text"))
+    """rank (the id; null as greatest), row (a hash of the text) and text, after the columns ``more``."""
+    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
 
 
-def anchors(rows: DataFrame, units: Units) -> DataFrame:
-    """(anchor, row, row2, place, first, last) of every run."""
+def runs_of(rows: DataFrame, units: Units) -> DataFrame:
+    """(anchor, kind, rank, row, place, first, last) of every run."""
 
     def run(batch):
         parts = [units.runs(text) for text in batch.column(2).to_pylist()]
         which = pa.array(np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts]))
-        joined = [np.concatenate([p[i] for p in parts] + [np.empty(0, np.int64)]).astype(np.int64) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(joined[0]), batch.column(0).take(which), batch.column(1).take(which), *(pa.array(x.astype(np.int32)) for x in joined[1:])], ["anchor", *KEY, "place", "first", "last"])
+        joined = [np.concatenate([p[i] for p in parts] + [np.empty(0, np.int64)]).astype(np.int64) for i in range(5)]
+        yield pa.RecordBatch.from_arrays([pa.array(joined[0]), pa.array(joined[1]), batch.column(0).take(which), batch.column(1).take(which), *(pa.array(x.astype(np.int32)) for x in joined[2:])], ["anchor", "kind", *KEY, "place", "first", "last"])
 
-    return map_rows(rows.select(*KEY, "text"), run, "anchor long, row long, row2 long, place int, first int, last int", 256)
+    return map_rows(rows.select(*KEY, "text"), run, "anchor long, kind long, rank long, row long, place int, first int, last int", 128)
 
 
-def contexts(texts_with_runs: DataFrame, units: Units, seen_most: int = 100_000) -> DataFrame:
-    """A row per run, with its context or null where this task has sent an equal one; ``place`` is the anchor's place in it.
+def contexts(texts_with_kinds: DataFrame, units: Units) -> DataFrame:
+    """(anchor, kind, place, n, least, context); ``place`` is the anchor's place in the context."""
+    names = ["anchor", "kind", "place", "n", "least", "context"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
-    A task forgets what it has sent after ``seen_most`` contexts, which costs repeated rows and changes no result.
-    """
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ["anchor", "key", *KEY, "rank", "first", "place", "context"]
+    def run(batch):
+        out: list[list] = [[] for _ in names]
+        for text, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cut = units.cutter(text)
+            for k in kinds:
+                for column, x in zip(out, (k["anchor"], k["kind"], k["place"] - k["first"], k["n"], k["least"], cut(k["first"], k["last"] + units.width))):
+                    column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                out: list[list] = [[] for _ in names]
-                for row, row2, rank, text, runs in zip(*(c.to_pylist() for c in batch.slice(at, 32).columns)):
-                    cut = units.cutter(text)
-                    for r in runs:
-                        first, place = r["first"], r["place"] - r["first"]
-                        context = cut(first, r["last"] + units.width)
-                        key = xxh3_128_digest(b"%d " % place + context)
-                        new = key not in seen
-                        if new:
-                            if len(seen) >= seen_most:
-                                seen.clear()
-                            seen.add(key)
-                        for column, x in zip(out, (r["anchor"], key, row, row2, rank, first, place, context if new else None)):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
-
-    return texts_with_runs.select(*KEY, "rank", "text", "runs").mapInArrow(run, "anchor long, key binary, row long, row2 long, rank long, first int, place int, context binary")
+    return map_rows(texts_with_kinds.select("text", "kinds"), run, "anchor long, kind long, place int, n long, least long, context binary", 64)
 
 
 @dataclass
@@ -138,51 +132,62 @@ Kernel = Callable[[list[Context]], list[list[tuple[int, int, int, int]]]]
 
 
 def find(docs: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int = HOT) -> DataFrame:
-    """(row, row2, rank, start, end, least, n): windows start to end - 1 (in units) of a document, which occur n > 1 times in
-    all, first in the document of rank ``least``. ``docs`` comes from ``numbered``."""
-    found = tables.save(anchors(docs, units))
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    by_row = found.join(twice, "anchor").groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "place", "first", "last")).alias("runs"))
-    cut = tables.save(contexts(docs.join(by_row, KEY), units))
-    answers = tables.save(compare(cut, units, kernel, tables, hot))
-    spans = cut.select("anchor", "key", *KEY, "rank", "first").join(answers, ["anchor", "key"]).select(*KEY, "rank", "first", F.explode("windows").alias("w"))
-    return spans.select(*KEY, "rank", (F.col("first") + F.col("w.start")).alias("start"), (F.col("first") + F.col("w.end")).alias("end"), "w.least", "w.n")
-
-
-def compare(cut: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int = HOT, most_bytes: int = 1 << 20) -> DataFrame:
-    """(anchor, key, windows): the repeated windows of each distinct context."""
-    known = tables.save(cut.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min("rank").alias("least")))
-    crowded = known.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("anchor")
-    once = cut.where("context is not null").select("anchor", "key", "place", "context").join(known, ["anchor", "key"])
-    calm = once.join(crowded, "anchor", "left_anti")
-    dealt = calm.repartition("anchor").sortWithinPartitions("anchor", "key").select("anchor", "key", "place", "context", "n", "least")
+    """(rank, row, start, end, least, n): windows start to end - 1 (in units) of a document, which occur n > 1 times in all,
+    first in the document of rank ``least``. ``docs`` comes from ``numbered``."""
+    every, every_path = tables.write(runs_of(docs, units))
+    twice = every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    runs = tables.save(every.join(twice, "anchor"))
+    tables.drop(every_path)
+    kinds = runs.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min("rank").alias("least"), F.min(F.struct(*KEY, "place", "first", "last")).alias("one"))
+    kinds = tables.save(kinds)
+    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    busy = tables.save(crowd.where(F.col("m") > hot).select("anchor"))
+    to_cut = kinds.join(crowd.select("anchor"), "anchor", "left_semi")
+    held = F.struct("anchor", "kind", "one.place", "one.first", "one.last", "n", "least")
+    by_row = to_cut.groupBy(F.col("one.rank").alias("rank"), F.col("one.row").alias("row")).agg(F.collect_list(held).alias("kinds"))
+    # rows equal in id and text would cut the same contexts twice: the kernel's stream drops repeats
+    calm = contexts(docs.join(by_row, KEY).select("text", "kinds"), units) if not busy.take(1) else None
+    if calm is None:
+        cut = tables.save(contexts(docs.join(by_row, KEY).select("text", "kinds"), units))
+        crowded = by_window(cut.join(busy, "anchor", "left_semi").dropDuplicates(["anchor", "kind"]), units, tables)
+        answers = compare(cut.join(busy, "anchor", "left_anti"), kernel).unionByName(crowded)
+    else:
+        answers = compare(calm, kernel)
+    answers = tables.save(answers)
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("one.last") - F.col("one.first") + 1).alias("end"), "least", "n"))
+    alone = kinds.join(crowd.select("anchor"), "anchor", "left_anti").select("anchor", "kind", whole.alias("windows"))
+    spans = runs.select("anchor", "kind", *KEY, "first").join(alone.unionByName(answers), ["anchor", "kind"]).select(*KEY, "first", F.explode("windows").alias("w"))
+    return spans.select(*KEY, (F.col("first") + F.col("w.start")).alias("start"), (F.col("first") + F.col("w.end")).alias("end"), "w.least", "w.n")
+
+
+def compare(cut: DataFrame, kernel: Kernel, most_bytes: int = 1 << 19) -> DataFrame:
+    """(anchor, kind, windows): the repeated windows of each distinct context."""
+    dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "kind").select("anchor", "kind", "place", "n", "least", "context")
 
     def answer(group: list[tuple]) -> pa.RecordBatch:
-        each = kernel([Context(g[0], g[2], g[3], g[4], g[5]) for g in group])
+        each = kernel([Context(g[0], g[2], g[5], g[3], g[4]) for g in group])
         kept = [(g, w) for g, w in zip(group, each) if w]
         windows = pa.array([[{"start": s, "end": e, "least": m, "n": n} for s, e, m, n in w] for _, w in kept], pa.list_(WINDOW))
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g, _ in kept], pa.int64()), pa.array([g[1] for g, _ in kept], pa.binary()), windows], ["anchor", "key", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g, _ in kept], pa.int64()), pa.array([g[1] for g, _ in kept], pa.int64()), windows], ["anchor", "kind", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         size, last = 0, (None, None)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] == last:  # an equal context that another task has sent too
-                    continue
-                if size >= most_bytes and row[0] != last[0]:
-                    yield answer(group)
-                    group, size = [], 0
-                last = row[:2]
-                group.append(row)
-                size += len(row[3])
+            for at in range(0, batch.num_rows, 1024):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                    if row[:2] == last:
+                        continue
+                    if size >= most_bytes and row[0] != last[0]:
+                        yield answer(group)
+                        group, size = [], 0
+                    last = row[:2]
+                    group.append(row)
+                    size += len(row[5])
         if group:
             yield answer(group)
 
-    answers = dealt.mapInArrow(run, f"anchor long, key binary, windows {WINDOWS}")
-    if not crowded.take(1):
-        return answers
-    return answers.unionByName(by_window(once.join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "key"]), units, tables))
+    return dealt.mapInArrow(run, f"anchor long, kind long, windows {WINDOWS}")
 
 
 def by_window(once: DataFrame, units: Units, tables: Tables) -> DataFrame:
@@ -190,17 +195,17 @@ def by_window(once: DataFrame, units: Units, tables: Tables) -> DataFrame:
 
     def run(batch):
         out: list[list] = [[], [], [], [], [], []]
-        for anchor, key, content, n, least in zip(*(c.to_pylist() for c in batch.columns)):
+        for anchor, kind, content, n, least in zip(*(c.to_pylist() for c in batch.columns)):
             cut = units.cutter(content.decode("utf-8", "surrogatepass")) if units.words else lambda lo, hi, c=content: c[lo:hi]
             total = content.count(b" ") + 1 if units.words else len(content)
             for at in range(total - units.width + 1):
-                for column, x in zip(out, (xxh3_128_digest(cut(at, at + units.width)), anchor, key, at, n, least)):
+                for column, x in zip(out, (xxh3_128_digest(cut(at, at + units.width)), anchor, kind, at, n, least)):
                     column.append(x)
-        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["window", "anchor", "key", "at", "n", "least"])
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["window", "anchor", "kind", "at", "n", "least"])
 
-    each = tables.save(map_rows(once.select("anchor", "key", "context", "n", "least"), run, "window binary, anchor long, key binary, at int, n long, least long", 32))
+    each = tables.save(map_rows(once.select("anchor", "kind", "context", "n", "least"), run, "window binary, anchor long, kind long, at int, n long, least long", 32))
     total = each.groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 1")
-    found = each.select("window", "anchor", "key", "at").join(total, "window")
+    found = each.select("window", "anchor", "kind", "at").join(total, "window")
     one = F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "least", "n")
-    return found.groupBy("anchor", "key").agg(F.collect_list(one).alias("windows"))  # at most ``width`` windows each
+    return found.groupBy("anchor", "kind").agg(F.collect_list(one).alias("windows"))  # at most ``width`` windows each

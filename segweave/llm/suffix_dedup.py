@@ -108,7 +108,7 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048) -> DataFrame:
+def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 1024) -> DataFrame:
     """(id, n_bytes, n_removed, removed (array of start, end), kept (binary)) of every row."""
     units = Units(False, width, min(GRAM, 1 << (width.bit_length() - 1)))
     rows = numbered(docs, id_col, text_col)
