@@ -1,0 +1 @@
+"""segweave: ordered text segments and translation memories as Spark DataFrames."""
