@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, map_rows
-from .repeats import KEY, Context, Units, find, numbered
+from .repeats import HOT, KEY, Context, Units, find, numbered
 from .suffix_dedup import joined
 
 GRAM = 8
@@ -59,37 +59,37 @@ def located(contexts: list[Context], width: int, gram: int) -> list[list[tuple[i
     for anchor, own in groups.items():
         if len(own) == 1:
             continue
-        seen: dict[str, list[int]] = {}
-        windows: dict[int, list[str]] = {}
+        number: dict[str, int] = {}  # of each distinct window
+        times, least = [], []
+        windows: dict[int, list[int]] = {}
         for i in own:
-            text, starts, ends = texts[i]
-            place, at = contexts[i].place, []
+            text, starts, ends = texts.pop(i)
+            c, at = contexts[i], []
             for end, which in automaton.iter(text):
-                if which == anchor and bisect_right(ends, end) == place + gram:  # the phrase ends with that many words before
-                    at = [text[starts[k] : ends[k + width - 1]] for k in range(len(starts) - width + 1)]
+                if which == anchor and bisect_right(ends, end) == c.place + gram:  # the phrase ends with that many words before
+                    at = [number.setdefault(text[starts[k] : ends[k + width - 1]], len(number)) for k in range(len(starts) - width + 1)]
                     break
             windows[i] = at
             for w in at:
-                have = seen.get(w)
-                if have is None:
-                    seen[w] = [contexts[i].n, contexts[i].least]
+                if w == len(times):
+                    times.append(c.n)
+                    least.append(c.least)
                 else:
-                    have[0] += contexts[i].n
-                    have[1] = min(have[1], contexts[i].least)
+                    times[w] += c.n
+                    least[w] = min(least[w], c.least)
         for i in own:
             runs = out[i]
             for k, w in enumerate(windows[i]):
-                n, least = seen[w]
-                if n < 2:
+                if times[w] < 2:
                     continue
-                if runs and runs[-1][1] == k and runs[-1][2:] == (least, n):
-                    runs[-1] = (runs[-1][0], k + 1, least, n)
+                if runs and runs[-1][1] == k and runs[-1][2:] == (least[w], times[w]):
+                    runs[-1] = (runs[-1][0], k + 1, *runs[-1][2:])
                 else:
-                    runs.append((k, k + 1, least, n))
+                    runs.append((k, k + 1, least[w], times[w]))
     return out
 
 
-def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 1024) -> DataFrame:
+def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, n_words, n_removed, removed (array of first word, end), kept (text)) of every row."""
     units = Units(True, width, min(GRAM, width))
     found = find(numbered(docs, id_col, text_col), units, partial(located, width=width, gram=units.gram), tables, hot).where("least < rank")

@@ -33,7 +33,7 @@ from xxhash import xxh3_128_digest
 from .common import Tables, map_rows
 from .textnum import BYTE_CODES, GRAM_CODES, U, byte_gram_hashes, gram_hashes, mix, powers, window_argmin, word_hashes, word_spans
 
-HOT = 1024
+HOT = 8192
 KEY = ["rank", "row"]
 WINDOW = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("least", pa.int64()), ("n", pa.int64())])
 WINDOWS = "array<struct<start:int,end:int,least:long,n:long>>"
@@ -100,20 +100,20 @@ def runs_of(rows: DataFrame, units: Units) -> DataFrame:
 
 
 def contexts(texts_with_kinds: DataFrame, units: Units) -> DataFrame:
-    """(anchor, kind, place, n, least, context); ``place`` is the anchor's place in the context."""
-    names = ["anchor", "kind", "place", "n", "least", "context"]
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    """(anchor, kind, place, n, least, busy, context); ``place`` is the anchor's place in the context."""
+    names = ["anchor", "kind", "place", "n", "least", "busy", "context"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batch):
         out: list[list] = [[] for _ in names]
         for text, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             cut = units.cutter(text)
             for k in kinds:
-                for column, x in zip(out, (k["anchor"], k["kind"], k["place"] - k["first"], k["n"], k["least"], cut(k["first"], k["last"] + units.width))):
+                for column, x in zip(out, (k["anchor"], k["kind"], k["place"] - k["first"], k["n"], k["least"], k["busy"], cut(k["first"], k["last"] + units.width))):
                     column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
-    return map_rows(texts_with_kinds.select("text", "kinds"), run, "anchor long, kind long, place int, n long, least long, context binary", 64)
+    return map_rows(texts_with_kinds.select("text", "kinds"), run, "anchor long, kind long, place int, n long, least long, busy boolean, context binary", 64)
 
 
 @dataclass
@@ -135,24 +135,22 @@ def find(docs: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int
     """(rank, row, start, end, least, n): windows start to end - 1 (in units) of a document, which occur n > 1 times in all,
     first in the document of rank ``least``. ``docs`` comes from ``numbered``."""
     every, every_path = tables.write(runs_of(docs, units))
-    twice = every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    # a table of its own, so that both sides of the join are plain exchanges and Spark can split a frequent anchor
+    twice = tables.save(every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"))
     runs = tables.save(every.join(twice, "anchor"))
     tables.drop(every_path)
     kinds = runs.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min("rank").alias("least"), F.min(F.struct(*KEY, "place", "first", "last")).alias("one"))
     kinds = tables.save(kinds)
-    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    busy = tables.save(crowd.where(F.col("m") > hot).select("anchor"))
-    to_cut = kinds.join(crowd.select("anchor"), "anchor", "left_semi")
-    held = F.struct("anchor", "kind", "one.place", "one.first", "one.last", "n", "least")
-    by_row = to_cut.groupBy(F.col("one.rank").alias("rank"), F.col("one.row").alias("row")).agg(F.collect_list(held).alias("kinds"))
-    # rows equal in id and text would cut the same contexts twice: the kernel's stream drops repeats
-    calm = contexts(docs.join(by_row, KEY).select("text", "kinds"), units) if not busy.take(1) else None
-    if calm is None:
-        cut = tables.save(contexts(docs.join(by_row, KEY).select("text", "kinds"), units))
-        crowded = by_window(cut.join(busy, "anchor", "left_semi").dropDuplicates(["anchor", "kind"]), units, tables)
-        answers = compare(cut.join(busy, "anchor", "left_anti"), kernel).unionByName(crowded)
+    crowd = tables.save(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", (F.col("m") > hot).alias("busy")))
+    held = F.struct("anchor", "kind", "one.place", "one.first", "one.last", "n", "least", "busy")
+    by_row = kinds.join(crowd, "anchor").groupBy(F.col("one.rank").alias("rank"), F.col("one.row").alias("row")).agg(F.collect_list(held).alias("kinds"))
+    # rows equal in id and text cut the same contexts twice: the kernel's stream and by_window drop repeats
+    cut = contexts(docs.join(by_row, KEY).select("text", "kinds"), units)
+    if crowd.where("busy").isEmpty():
+        answers = compare(cut, kernel)
     else:
-        answers = compare(calm, kernel)
+        cut = tables.save(cut)
+        answers = compare(cut.where("not busy"), kernel).unionByName(by_window(cut.where("busy").dropDuplicates(["anchor", "kind"]), units, tables))
     answers = tables.save(answers)
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("one.last") - F.col("one.first") + 1).alias("end"), "least", "n"))
     alone = kinds.join(crowd.select("anchor"), "anchor", "left_anti").select("anchor", "kind", whole.alias("windows"))

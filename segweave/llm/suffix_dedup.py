@@ -13,15 +13,18 @@ all copies go. Removal can split a code point, so what is left is bytes. Other c
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Tables, map_rows
-from .repeats import KEY, Context, Units, find, numbered
+from .repeats import HOT, KEY, Context, Units, find, numbered
 from .textnum import BYTE_CODES, U, mix, powers
 
 GRAM = 16
@@ -65,7 +68,45 @@ def refined(data: np.ndarray, width: int) -> np.ndarray:
     return bucket
 
 
-def repeated(contexts: list[Context], width: int) -> list[list[tuple[int, int, int, int]]]:
+def by_slices(contexts: list[Context], width: int, step: int = 24) -> list[list[tuple[int, int, int, int]]]:
+    """As ``compared`` for the many contexts of one anchor: ``step`` windows at a time, counted from the anchor.
+
+    Equal windows start at equal distances from it. The pieces of a slice are mostly equal, and equal ones are compared as one.
+    """
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in contexts]
+    for far in range(max(c.place for c in contexts), min(c.place - len(c.content) + width for c in contexts) - 1, -step):
+        pieces: dict[tuple[bytes, int], list] = {}
+        for i, c in enumerate(contexts):  # windows that start far to far - step + 1 bytes before the anchor
+            lo, hi = max(0, c.place - far), min(len(c.content) - width, c.place - far + step - 1)
+            if lo <= hi:
+                piece = pieces.setdefault((c.content[lo : hi + width], c.place - lo), [0, []])
+                piece[0] += c.n
+                piece[1].append((i, lo))
+        found = compared([Context(0, at, content, n, 0) for (content, at), (n, _) in pieces.items()], width) if pieces else []
+        for (_, members), runs in zip(pieces.values(), found):
+            for i, lo in members:
+                for start, end, *rest in runs:
+                    if out[i] and out[i][-1][1] == start + lo:
+                        out[i][-1] = (out[i][-1][0], end + lo, *rest)
+                    else:
+                        out[i].append((start + lo, end + lo, *rest))
+    return out
+
+
+def repeated(contexts: list[Context], width: int, many: int = 256) -> list[list[tuple[int, int, int, int]]]:
+    """Runs (start, end, 0, 2) of the windows of each context that occur more than once among those of its anchor."""
+    by_anchor: dict[int, list[int]] = defaultdict(list)
+    for i, c in enumerate(contexts):
+        by_anchor[c.anchor].append(i)
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in contexts]
+    few = [i for own in by_anchor.values() if len(own) <= many for i in own]
+    for own, how in [(few, compared), *((own, by_slices) for own in by_anchor.values() if len(own) > many)]:
+        for i, runs in zip(own, how([contexts[i] for i in own], width) if own else []):
+            out[i] = runs
+    return out
+
+
+def compared(contexts: list[Context], width: int) -> list[list[tuple[int, int, int, int]]]:
     """Runs (start, end, 0, 2) of the windows of each context that occur more than once in all."""
     sizes = np.array([len(c.content) for c in contexts])
     ends = np.cumsum(sizes)
@@ -108,18 +149,20 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 1024) -> DataFrame:
-    """(id, n_bytes, n_removed, removed (array of start, end), kept (binary)) of every row."""
+def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, columns of ``carry``, n_bytes, n_removed, removed (array of start, end), kept (binary)) of every row."""
     units = Units(False, width, min(GRAM, 1 << (width.bit_length() - 1)))
-    rows = numbered(docs, id_col, text_col)
-    spans = find(rows, units, partial(repeated, width=width), tables, hot).groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("end") - 1 + width).alias("end"))).alias("spans"))
-    texts = numbered(docs, id_col, text_col, id_col)
+    spans = find(numbered(docs, id_col, text_col), units, partial(repeated, width=width), tables, hot).groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("end") - 1 + width).alias("end"))).alias("spans"))
+    texts = docs.select(F.struct(id_col, *carry).alias("own"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    keep = [id_col, *carry]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary").fields])
 
     def run(batch):
         out: list[list] = [[], [], [], []]
-        for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        own = batch.column(0)
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            gone = joined([(s["start"], s["end"]) for s in own or ()])
+            gone = joined([(s["start"], s["end"]) for s in spans or ()])
             kept, at = [], 0
             for lo, hi in gone:
                 kept.append(raw[at:lo])
@@ -127,7 +170,8 @@ def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_
             kept.append(raw[at:])
             for column, x in zip(out, (len(raw), sum(hi - lo for lo, hi in gone), [{"start": lo, "end": hi} for lo, hi in gone], b"".join(kept))):
                 column.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[3], pa.binary())], [id_col, "n_bytes", "n_removed", "removed", "kept"])
+        made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[3], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*own.flatten(), *made], schema.names)
 
-    both = texts.join(spans, KEY, "left").select(id_col, "text", "spans")
-    return map_rows(both, run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary", 256)
+    both = numbered(texts, "_id", "_text", "own").join(spans, KEY, "left").select("own", "text", "spans")
+    return map_rows(both, run, schema, 256)
