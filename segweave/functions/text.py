@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Character classes and patterns.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PLACEHOLDER = r'<[a-z_]+ id="[0-9]+"/>'
 WORD = r"[a-zA-ZÀ-ɏЀ-ӿ]{3,}"
 NON_LATIN = r"[一-鿿぀-ヿ가-힯؀-ۿ]{2,}"
@@ -19,7 +20,7 @@ SENTENCE_END = r"[\p{L}\p{N}_][.!?](?:\s|$)"
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def source_hash(text: Column) -> Column:
@@ -78,7 +79,9 @@ def linguistic_features(df: DataFrame, text_col: str = "source_text", out: str =
         plain.rlike(SENTENCE_END).alias("sentence"),
         plain.rlike(NON_LATIN).alias("non_latin"),
     )
-    return step.withColumn(out, made).drop("_plain", "_share")
+    # through a generator, as the optimizer would copy every feature into each place of a filter below a projection
+    rows = step.withColumn("_made", F.array(made))
+    return rows.select(*df.columns, F.explode_outer("_made").alias(out))
 
 
 def is_linguistic(features: str = "features") -> Column:
