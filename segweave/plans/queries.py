@@ -11,9 +11,10 @@ from ..functions import budget, critique, latex, validate
 from ..functions import placeholders as ph
 from ..functions.similarity import similarity, upper_bound
 from ..functions.text import is_linguistic, linguistic_features, namespace_of, preview, source_hash, token_count, with_linguistic
-from ..operators import build, context, graph, memory, stats, sync, telemetry
+from ..operators import build, context, graph, memory, stats, sync, telemetry, translate
 from ..schema import STATUSES, TRANSITIONS, authoring_allowed, resolve_status, transition_allowed
 from ..sources.segments import exported, last_wins, with_positions
+from ..streaming import changelog
 from . import fixtures, views
 from .views import LINES_SQL, MASKED_SQL, RECORDS_SQL, SEGMENTS_SQL, table
 
@@ -642,3 +643,39 @@ def document_edges(spark, d):
 def namespace_derivation(spark, d):
     path = F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1)
     return table(spark, d, "pages").select(path.alias("path"), namespace_of(path).alias("namespace"))
+
+
+# ---------------------------------------------------------------- translation and streams
+
+
+@query("SELECT namespace, seq, id, CASE WHEN status IN ('generated', 'error') THEN 'drafted' ELSE status END AS status FROM one", SEGMENTS_SQL, "one AS (SELECT namespace, id, min(seq) AS seq, arg_max(status, seq) AS status FROM seg GROUP BY 1, 2)")
+def translate_draft(spark, d):
+    one = last_wins(views.segments(spark, d).withColumnRenamed("seq", "line")).select(*views.SEGMENTS.names)
+    return translate.run_stage(one, "draft", now=now()).select("namespace", "seq", "id", "status")
+
+
+@query()
+def translate_workflow(spark, d):
+    one = last_wins(views.segments(spark, d).withColumnRenamed("seq", "line")).select(*views.SEGMENTS.names)
+    return translate.workflow(one, now=now()).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query()
+def translate_sequential(spark, d):
+    one = last_wins(views.segments(spark, d).withColumnRenamed("seq", "line")).select(*views.SEGMENTS.names)
+    return translate.sequential(one)
+
+
+@query("SELECT segment_id, arg_max(stage, CAST(id AS BIGINT)) AS stage, arg_max(duration_ms, CAST(id AS BIGINT)) AS duration_ms FROM rec GROUP BY 1", RECORDS_SQL)
+def changelog_latest(spark, d):
+    rows = views.records(spark, d).select("segment_id", F.col("id").cast("long").alias("at"), "stage", "duration_ms")
+    return changelog.latest(rows, ["segment_id"], "at").select("segment_id", "stage", "duration_ms")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_event FROM events GROUP BY 1")
+def changelog_stream_compaction(spark, d):
+    """The events table as a stream (by a pattern, as it may be one file): micro-batches are compacted per user and type, and the state is read back."""
+    target, checkpoint = changelog.places(spark)
+    schema = table(spark, d, "events").schema
+    changelog.follow(spark, f"{d}/event[s].parquet", schema, target, checkpoint, ["event_type", "event_id"], "ts").awaitTermination()
+    return changelog.current(spark, target, ["event_type", "event_id"], "ts").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").cast("long").alias("last_event"))

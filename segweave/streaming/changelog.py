@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
+def places(spark: SparkSession) -> tuple[str, str]:
+    """New folders for a stream's output and checkpoint, below the shared checkpoint folder (a temp folder where none is set, in local mode)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="changelog-")
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = f"{base.rstrip('/')}/changelog-{uuid.uuid4().hex}"
+    return f"{root}/out", f"{root}/checkpoint"
+
+
 def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last change of each key."""
     rest = [c for c in changes.columns if c not in keys]
