@@ -74,23 +74,26 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 50)
     """``(node, component)`` for every node of ``edges(u, v)``; component is the least node reachable.
 
     Alternating large-star and small-star rounds: a node's neighbours are only ever reduced to their minimum
-    (pre-aggregated before the shuffle), never gathered. Each round is written to the shared folder.
+    (pre-aggregated before the shuffle), never gathered. Every step is a table in the shared folder, so that both sides of
+    each join are plain exchanges, in which Spark splits the edges of a hub over tasks.
     """
+
+    def mark(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     now, path = tables.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    seen = mark(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(small_m, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v").where("u <> v").distinct()
-        )
-        after, after_path = tables.write(small)
-        same = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        tables.drop(path)
-        now, path = after, after_path
+        least, path_1 = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large, path_2 = tables.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        lower, path_3 = tables.write(large.groupBy("u").agg(F.min("v").alias("m")))
+        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        after, after_path = tables.write(large.join(lower, "u").select(F.inline(pair)).where("u <> v").distinct())
+        found = mark(after)
+        for old in (path, path_1, path_2, path_3):
+            tables.drop(old)
+        same, now, path, seen = found == seen, after, after_path, found
         if same:
             stars = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
             return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
