@@ -12,7 +12,10 @@ TAG = r"<[^>]+>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A source table; one that is read in fewer tasks than there are cores is dealt out, as its rows cost more than moving them."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
 def status_of(number: Column) -> Column:
