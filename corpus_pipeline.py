@@ -12,13 +12,11 @@ document: one of them stays in the near-duplicate stage. An empty table stays em
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from segweave.llm import langid, ngram_join, packing, suffix_dedup, toxicity
-from segweave.llm.common import Tables, held_out, map_rows
+from segweave.llm.common import Tables, held_out
 from segweave.llm.repeats import KEY
 
 
@@ -46,20 +44,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 400-byte strings; bytes of a code point that was cut through go too."""
-    done = suffix_dedup.dedup(docs, Tables(spark, "repeats"), carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
-    text = as_text(done, "kept", "text").withColumn("n_chars", F.char_length("text").cast("long"))
-    return text.select(*docs.columns)
-
-
-def as_text(df: DataFrame, bytes_col: str, out: str) -> DataFrame:
-    """``df`` with the text that the bytes spell, without bytes that spell nothing."""
-    keep = [c for c in df.columns if c not in (bytes_col, out)]
-
-    def run(batch):
-        texts = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(len(keep)).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], [*keep, out])
-
-    return map_rows(df.select(*keep, bytes_col), run, T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StringType())]))
+    done = suffix_dedup.dedup(docs, Tables(spark, "repeats"), carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")], as_text=True)
+    return done.withColumnRenamed("kept", "text").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

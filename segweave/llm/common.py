@@ -31,6 +31,7 @@ class Tables:
     """Writes intermediate results as Parquet in the shared folder, which cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
@@ -59,6 +60,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows unless the session says otherwise: whole texts are long, and both sides hold a batch."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, step: int = 1024) -> DataFrame:
     """``mapInArrow`` over slices of at most ``step`` rows, so that a worker holds few rows at once."""
 
@@ -67,6 +77,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
             for at in range(0, batch.num_rows, step):
                 yield from fn(batch.slice(at, step))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

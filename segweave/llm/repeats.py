@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import Tables, map_rows
-from .textnum import BYTE_CODES, GRAM_CODES, U, byte_gram_hashes, gram_hashes, mix, powers, window_argmin, word_hashes, word_spans
+from .textnum import BYTE_CODES, GRAM_CODES, byte_gram_hashes, gram_hashes, mix, span_hashes, window_argmin, word_hashes, word_spans
 
 HOT = 8192
 KEY = ["rank", "row"]
@@ -62,9 +62,7 @@ class Units:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.append(first[1:], len(at)) - 1
         place = at[first]
-        summed = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum(mix(units) * powers(len(units), "up"), out=summed[1:])
-        content = (summed[last + self.width] - summed[first]) * powers(len(units), "down")[first]
+        content = span_hashes(mix(units), first, last + self.width)
         kind = mix(content + (place - first).astype(np.uint64) * GRAM_CODES[1] + (last - first).astype(np.uint64) * GRAM_CODES[2])
         return grams[place].view(np.int64), kind.view(np.int64), place, first, last
 

@@ -25,16 +25,15 @@ from pyspark.sql import types as T
 
 from .common import Tables, map_rows
 from .repeats import HOT, KEY, Context, Units, find, numbered
-from .textnum import BYTE_CODES, U, mix, powers
+from .textnum import BYTE_CODES, U, mix, span_hashes
 
 GRAM = 16
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of each ``width`` consecutive bytes."""
-    summed = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers(len(data), "up"), out=summed[1:])
-    return mix((summed[width:] - summed[:-width]) * powers(len(data) - width + 1, "down"))
+    starts = np.arange(len(data) - width + 1)
+    return mix(span_hashes(BYTE_CODES[data], starts, starts + width))
 
 
 def rename(keys: np.ndarray) -> np.ndarray:
@@ -149,13 +148,14 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, columns of ``carry``, n_bytes, n_removed, removed (array of start, end), kept (binary)) of every row."""
+def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """(id, columns of ``carry``, n_bytes, n_removed, removed (array of start, end), kept) of every row; kept is binary, or the text it
+    spells without bytes that spell nothing."""
     units = Units(False, width, min(GRAM, 1 << (width.bit_length() - 1)))
     spans = find(numbered(docs, id_col, text_col), units, partial(repeated, width=width), tables, hot).groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("end") - 1 + width).alias("end"))).alias("spans"))
     texts = docs.select(F.struct(id_col, *carry).alias("own"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     keep = [id_col, *carry]
-    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary").fields])
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}").fields])
 
     def run(batch):
         out: list[list] = [[], [], [], []]
@@ -168,9 +168,9 @@ def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_
                 kept.append(raw[at:lo])
                 at = hi
             kept.append(raw[at:])
-            for column, x in zip(out, (len(raw), sum(hi - lo for lo, hi in gone), [{"start": lo, "end": hi} for lo, hi in gone], b"".join(kept))):
+            for column, x in zip(out, (len(raw), sum(hi - lo for lo, hi in gone), [{"start": lo, "end": hi} for lo, hi in gone], b"".join(kept).decode("utf-8", "ignore") if as_text else b"".join(kept))):
                 column.append(x)
-        made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[3], pa.binary())]
+        made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[3], pa.string() if as_text else pa.binary())]
         yield pa.RecordBatch.from_arrays([*own.flatten(), *made], schema.names)
 
     both = numbered(texts, "_id", "_text", "own").join(spans, KEY, "left").select("own", "text", "spans")

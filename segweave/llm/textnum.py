@@ -44,22 +44,30 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; equal words hash alike wherever they stand."""
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each span of codes, which depends on their values and order only; starts and ends both rise.
+
+    Prefix sums of codes times powers of an odd base, over pieces of bounded length however long the input is.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
     out, at = [], 0
-    while at < len(starts):  # pieces of bounded length, each cut between words
+    while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, "right")))
-        lo, hi = starts[at], ends[stop - 1]
+        lo, hi = int(starts[at]), int(ends[stop - 1])
         summed = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data[lo:hi]] * powers(hi - lo, "up"), out=summed[1:])
+        np.cumsum(codes[lo:hi] * powers(hi - lo, "up"), out=summed[1:])
         s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        out.append(mix((summed[e] - summed[s]) * powers(hi - lo, "down")[s] + (e - s).astype(np.uint64)))
+        out.append((summed[e] - summed[s]) * powers(hi - lo, "down")[s])
         at = stop
     return np.concatenate(out)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; equal words hash alike wherever they stand."""
+    return mix(span_hashes(BYTE_CODES[data], starts, ends) + (ends - starts).astype(np.uint64))
+
+
 def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive units; fewer than k units give none."""
     n = len(units) - k + 1
