@@ -3,7 +3,10 @@
 Texts are lower-cased; runs of anything but letters become one space; byte 2-, 3- and 4-grams of the UTF-8 bytes are hashed to
 ``DIM`` counts. A vector is log(1 + count) times the corpus IDF, scaled to length 1. Each language is described by
 several centroids (spherical k-means); a text takes the language of the nearest centroid by cosine and is *rejected*
-where it lies farther from that centroid than the centroid's own learning rows do (``slack`` times their spread).
+where it lies farther from that centroid than nearly all learning rows of the language lie from theirs. Short texts lie
+farther off by chance: with n distinct n-grams the cosine grows like sqrt(n / (n + bend)), so it is taken as a multiple of
+that, with one bend a language. The least multiple that is not rejected is ``margin`` times the ``tail`` quantile of the
+language's learning rows, each measured from its centroid without itself.
 
 Defined cases: null text or text without a letter gives ``und``, score 0, rejected. Rows whose language is null are
 never learned from. A corpus without labelled rows gives ``und`` everywhere. Repeated rows are predicted alike;
@@ -54,7 +57,8 @@ class LangModel:
     idf: np.ndarray
     centroids: np.ndarray  # one row each
     owner: np.ndarray  # index into langs
-    floor: np.ndarray  # least cosine that is not rejected, by centroid
+    floor: np.ndarray  # least multiple of the expected cosine that is not rejected, by centroid
+    bend: np.ndarray  # see expected(), by centroid
     sharpness: float = 24.0
 
     def vector(self, total: np.ndarray) -> np.ndarray:
@@ -70,28 +74,67 @@ class LangModel:
             if not rows:
                 continue
             cos = np.stack([self.vector(c) for _, c in rows]) @ self.centroids.T
-            for (i, _), each in zip(rows, cos):
+            for (i, c), each in zip(rows, cos):
                 best = int(np.argmax(each))
+                least = self.floor[best] * expected(np.count_nonzero(c), self.bend[best])
                 by_lang = np.array([each[self.owner == k].max() for k in range(len(self.langs))])
                 odds = np.exp(self.sharpness * (by_lang - by_lang.max()))
-                found[i] = (self.langs[self.owner[best]], float(odds.max() / odds.sum()), bool(each[best] < self.floor[best]), float(each[best]))
+                found[i] = (self.langs[self.owner[best]], float(odds.max() / odds.sum()), bool(each[best] < least), float(each[best]))
         return found
 
 
-def kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means; farthest-first start, so the same rows give the same centroids."""
-    chosen = [rows.mean(0) / max(np.linalg.norm(rows.mean(0)), 1e-12)]
-    for _ in range(min(k, len(rows)) - 1):
-        chosen.append(rows[int(np.argmin(np.max(rows @ np.stack(chosen).T, axis=1)))])
-    centres = np.stack(chosen)
+def expected(sizes, bend):
+    """How the cosine to a text's own centroid grows with its distinct n-grams, up to a factor."""
+    return np.sqrt(sizes / (sizes + bend))
+
+
+def kmeans(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means of at most k clusters. The start is drawn as in k-means++ from a fixed seed, so the same rows give
+    the same centroids; a cluster of less than an eighth of its even share is given up, as outliers make no centroid."""
+    rng = np.random.default_rng(seed)
+    chosen, far = [int(np.argmax(rows @ rows.sum(0)))], np.full(len(rows), np.inf)
+    while len(chosen) < min(k, len(rows)):
+        far = np.minimum(far, np.maximum(0.0, 1.0 - (rows @ rows[chosen[-1]]).astype(np.float64)))
+        if far.sum() < 1e-6:  # copies of one row
+            break
+        chosen.append(int(rng.choice(len(rows), p=far / far.sum())))
+    centres = rows[chosen]
     for _ in range(rounds):
         near = np.argmax(rows @ centres.T, axis=1)
-        centres = np.stack([rows[near == j].sum(0) if (near == j).any() else centres[j] for j in range(len(centres))])
+        n = np.bincount(near, minlength=len(centres))
+        centres = np.stack([rows[near == j].sum(0) for j in np.flatnonzero(n >= min(n.max(), len(rows) / (8 * k)))])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return centres, np.argmax(rows @ centres.T, axis=1)
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, per_lang: int = 600, k: int = 6, slack: float = 6.0) -> LangModel:
+def without_self(rows: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The cosine of each row to the sum of the other rows of its cluster; NaN where it has no other."""
+    cos = np.full(len(rows), np.nan)
+    for j in np.unique(near):
+        own = np.flatnonzero(near == j)
+        if len(own) > 1:
+            total = rows[own].sum(0).astype(np.float64)
+            along = rows[own] @ total
+            cos[own] = (along - 1) / np.sqrt(np.maximum(total @ total - 2 * along + 1, 1e-12))
+    return cos
+
+
+def limits(cos: np.ndarray, sizes: np.ndarray, tail: float, margin: float) -> tuple[float, float]:
+    """(floor, bend) of a language: the bend that leaves the multiples of the expected cosine least scattered."""
+    ok = np.isfinite(cos)
+    if not ok.any():  # a language of single rows says nothing of its spread
+        return 0.0, 1.0
+    cos, sizes = np.maximum(cos[ok], 1e-3), sizes[ok]
+
+    def scatter(bend: float) -> float:
+        off = np.log(cos / expected(sizes, bend))
+        return float(np.mean(np.abs(off - np.median(off))))
+
+    bend = min((2.0 ** (i / 2) for i in range(27)), key=scatter)
+    return margin * float(np.quantile(cos / expected(sizes, bend), tail)), bend
+
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, per_lang: int = 600, k: int = 6, tail: float = 0.01, margin: float = 0.75) -> LangModel:
     """Learns from the rows of ``df`` that ``where`` keeps and that have a language.
 
     IDF counts documents over all these rows. The centroids are fitted on a sample of about ``per_lang`` rows of each
@@ -114,7 +157,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
 
     by_term = known.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     if not by_term:
-        return LangModel([], np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0, np.float32))
+        return LangModel([], np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, np.float32))
     seen, total = np.zeros(DIM), 0
     for r in by_term:
         if r["term"] < 0:
@@ -133,18 +176,19 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in rows], pa.binary())], ["lang", "counts"])
 
     rows = map_rows(drawn, sampled, "lang string, counts binary").limit(2 * per_lang * max(1, len(sizes))).collect()
-    model = LangModel(sorted({r["lang"] for r in rows}), idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0, np.float32))
-    parts, owner, floor = [], [], []
+    model = LangModel(sorted({r["lang"] for r in rows}), idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, np.float32))
+    parts, owner, floor, bend = [], [], [], []
     for at, lang in enumerate(model.langs):
-        vectors = np.stack([model.vector(np.frombuffer(r["counts"], "<u2")) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: bytes(r["counts"]))])
+        own = [np.frombuffer(c, "<u2") for c in sorted(bytes(r["counts"]) for r in rows if r["lang"] == lang)]
+        vectors = np.stack([model.vector(c) for c in own])
         centres, near = kmeans(vectors, k)
-        cos = np.sum(vectors * centres[near], axis=1)
-        for j in range(len(centres)):
-            own = cos[near == j] if (near == j).any() else cos
-            parts.append(centres[j])
+        least = limits(without_self(vectors, near), np.array([np.count_nonzero(c) for c in own]), tail, margin)
+        for centre in centres:
+            parts.append(centre)
             owner.append(at)
-            floor.append(min(float(own.mean() - slack * max(own.std(), 0.02)), 0.5 * float(cos.min())))
-    model.centroids, model.owner, model.floor = np.stack(parts).astype(np.float32), np.array(owner), np.array(floor, np.float32)
+            floor.append(least[0])
+            bend.append(least[1])
+    model.centroids, model.owner, model.floor, model.bend = np.stack(parts).astype(np.float32), np.array(owner), np.array(floor, np.float32), np.array(bend, np.float32)
     return model
 
 

@@ -39,6 +39,27 @@ def test_language(spark):
     assert not any(got[i]["rejected"] for i in range(300))
 
 
+def test_language_left_out(spark, data):
+    df = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").cache()
+    rejected = {True: [], False: []}
+    for lang in [r["lang"] for r in df.select("lang").distinct().collect()]:
+        rest = df.withColumn("lang", F.when(F.col("lang") != lang, F.col("lang")))
+        rows = langid.identify(rest).join(df.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
+        for r in rows:
+            if r["truth"] == lang or r["held_out"]:
+                rejected[r["truth"] == lang].append(r["rejected"])
+    assert np.mean(rejected[True]) >= 0.95 and np.mean(rejected[False]) <= 0.02, {k: (sum(v), len(v)) for k, v in rejected.items()}
+
+
+def test_clusters_split_the_bulk():
+    rng = np.random.default_rng(2)
+    bulk = np.abs(rng.normal(1, 0.3, (400, 40))) * np.where(np.arange(40) < 20, np.arange(400)[:, None] % 2 * 2 + 1, 1)
+    rows = np.concatenate([bulk, np.eye(40)[:8]])  # outliers that a farthest-first start would pick
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    centres, near = langid.kmeans(rows, 6)
+    assert np.bincount(near)[: len(centres)].min() >= 8 and np.bincount(near).max() < 300
+
+
 def test_language_without_rows(spark):
     df = labelled(spark)
     assert langid.identify(df.limit(0)).count() == 0
