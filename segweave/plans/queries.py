@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import budget, critique, latex, validate
 from ..functions import placeholders as ph
-from ..functions.similarity import similarity, upper_bound
+from ..functions.similarity import close_ratio, upper_bound
 from ..functions.text import is_linguistic, linguistic_features, namespace_of, preview, source_hash, token_count, with_linguistic
 from ..operators import build, context, graph, memory, stats, sync, telemetry, translate
 from ..schema import STATUSES, TRANSITIONS, authoring_allowed, resolve_status, transition_allowed
@@ -392,14 +392,12 @@ def identity_alignment(spark, d):
 
 @query()
 def identity_similarity(spark, d):
-    """Benchmark items against documents of about their length, by the bound that no ratio exceeds."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.explode(F.array(*((F.floor(F.log(F.char_length("text")) / F.log(F.lit(1.5))).cast("int") + i) for i in (-1, 0, 1)))).alias("size"))
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("b"), F.floor(F.log(F.char_length("text")) / F.log(F.lit(1.5))).cast("int").alias("size"))
+    """Benchmark items against documents of about their length, by bounds that no ratio exceeds. Null texts match nothing."""
+    size = F.floor(F.log(F.greatest(F.char_length("text"), F.lit(1))) / F.log(F.lit(1.5))).cast("int")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.explode(F.array(*(size + i for i in (-1, 0, 1)))).alias("size")).where("a is not null")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("b"), size.alias("size")).where("b is not null")
     near = items.join(docs, "size").where(upper_bound(F.col("a"), F.col("b")) >= 0.8)
-    # only pairs that also share a rare word, which a ratio this high needs
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: F.char_length(w) > 8))
-    near = near.where(F.arrays_overlap(words(F.col("a")), words(F.col("b"))))
-    return near.withColumn("ratio", similarity("a", "b")).where("ratio >= 0.8").select("item_id", "doc_id", "ratio")
+    return near.withColumn("ratio", close_ratio("a", "b", 0.8)).where("ratio is not null").select("item_id", "doc_id", "ratio")
 
 
 # ---------------------------------------------------------------- placeholders and validation

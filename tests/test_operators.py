@@ -1,11 +1,14 @@
 """Loading, updating, syncing, packing and building segments on small tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from segweave.functions.similarity import ratio
 from segweave.operators import build, context, graph, memory, sync, telemetry
+from segweave.plans.queries import QUERIES
 from segweave.schema import INFERENCE, SEGMENTS
 from segweave.sources import segments as src
 
@@ -151,3 +154,16 @@ def test_graph(spark):
     assert [r["path"] for r in reached.collect()] == ["chapter1.tex", "main.tex", "mypkg.sty"]
     assert graph.collisions(files).first()["paths"] == ["a/b.tex", "a__b.tex"]
     assert [r["path"] for r in graph.roots(files).collect()] == ["main.tex"]
+
+
+def test_identity_similarity_against_all_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    base = [" ".join(rng.choice(["la", "de", "of", "river", "not", "sun", "transformations"]) for _ in range(n)) for n in (3, 8, 20, 60)]
+    base += ["今天天气很好我们去公园散步吧", "мы идём в лес", "a" * 12, "x", "", "ab" * 150]
+    edited = [t[: len(t) // 2] + "q" + t[len(t) // 2 :] for t in base] + [t + t[: len(t) // 2] for t in base]
+    items, docs = list(enumerate([*base, None])), list(enumerate([*base, *edited, *(t[::-1] for t in base), None]))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["identity_similarity"](spark, str(tmp_path)).collect())
+    want = sorted((i, j, r) for i, a in items if a is not None for j, b in docs if b is not None and (r := ratio(a, b)) >= 0.8)
+    assert got == want and {i for i, _, _ in got} == set(range(len(base)))
