@@ -58,7 +58,8 @@ class FactorMachine:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         each = [terms(t) for t in texts]
         sizes = np.array([max(1, len(e)) for e in each], np.float64)
-        each = [e[self.linear[e] != 0] for e in each]
+        # places whose own weight the L1 step has set to 0 still count in pairs
+        each = [e[(self.linear[e] != 0) | self.factors[e].any(axis=1)] for e in each]
         rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
         z, _, _ = self.logits(np.concatenate([*each, np.empty(0, np.int64)]), rows, sizes)
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))

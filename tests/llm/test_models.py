@@ -97,6 +97,15 @@ def test_toxicity_learns_pairs(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_pairs_of_places_without_weight():
+    size = 1 << toxicity.BITS
+    model = toxicity.FactorMachine(-1.0, np.zeros(size, np.float32), np.zeros((size, toxicity.RANK), np.float32), 0.0)
+    one, two = (int(toxicity.terms(w)[0]) for w in ("abc", "xyz"))
+    model.linear[one], model.factors[one, 0], model.factors[two, 0] = 0.5, 2.0, 3.0
+    got = model.scores(["abc", "xyz", "abc xyz", "abc pqr", None])
+    assert np.allclose(np.log(got / (1 - got)), [-0.5, -1.0, 5.5, -0.5, -1.0], atol=1e-5)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = toxic_rows(spark, 30)
     assert {r["predicted"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {0}
