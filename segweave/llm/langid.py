@@ -137,13 +137,14 @@ def limits(cos: np.ndarray, sizes: np.ndarray, tail: float, margin: float) -> tu
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, per_lang: int = 600, k: int = 6, tail: float = 0.01, margin: float = 0.75) -> LangModel:
     """Learns from the rows of ``df`` that ``where`` keeps and that have a language.
 
-    IDF counts documents over all these rows. The centroids are fitted on a sample of about ``per_lang`` rows of each
-    language (the bound: at most ``2 * per_lang`` rows of a language reach the driver, as hashed counts of fixed size).
+    IDF counts documents over all these rows. The centroids are fitted on a sample of about ``per_lang`` distinct texts of
+    each language, those of the least hashes, so that copies neither fill the sample nor change it from run to run (the
+    bound: ``2 * per_lang`` a language on average, as hashed counts of fixed size; at most as many of one are used).
     """
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.where(where) if where is not None else known
     known = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(11)), 0.02).alias("n")).collect()}
 
     def frequency(batches):
         seen, n = np.zeros(DIM, np.int64), 0
@@ -169,17 +170,18 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(rate)
-    drawn = known.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < rate * 1_000_000)
+    # the place of a text in its language's sample, from 0; the sample ends at 1
+    drawn = known.withColumn("at", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 40)) / (rate * (1 << 40))).where("at < 1").dropDuplicates(["lang", "text"])
 
     def sampled(batch):
-        rows = [(lang.as_py(), c) for text, lang in zip(batch.column(0), batch.column(1)) if (c := counts(text.as_py())) is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in rows], pa.binary())], ["lang", "counts"])
+        rows = [(lang.as_py(), at.as_py(), c) for text, lang, at in zip(*batch.columns) if (c := counts(text.as_py())) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in rows], pa.string()), pa.array([x for _, x, _ in rows], pa.float64()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, _, c in rows], pa.binary())], ["lang", "at", "counts"])
 
-    rows = map_rows(drawn, sampled, "lang string, counts binary").limit(2 * per_lang * max(1, len(sizes))).collect()
+    rows = map_rows(drawn, sampled, "lang string, at double, counts binary").orderBy("at", "lang", "counts").limit(2 * per_lang * max(1, len(sizes))).collect()
     model = LangModel(sorted({r["lang"] for r in rows}), idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, np.float32))
     parts, owner, floor, bend = [], [], [], []
     for at, lang in enumerate(model.langs):
-        own = [np.frombuffer(c, "<u2") for c in sorted(bytes(r["counts"]) for r in rows if r["lang"] == lang)]
+        own = [np.frombuffer(c, "<u2") for c in sorted([bytes(r["counts"]) for r in rows if r["lang"] == lang][: 2 * per_lang])]
         vectors = np.stack([model.vector(c) for c in own])
         centres, near = kmeans(vectors, k)
         least = limits(without_self(vectors, near), np.array([np.count_nonzero(c) for c in own]), tail, margin)

@@ -119,21 +119,21 @@ def train(samples: list[tuple[np.ndarray, int]], steps: int = 1500, rate: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, most: int = 12_000) -> FactorMachine:
-    """Learns from a sample of about ``most`` labelled rows (the bound: at most ``2 * most`` reach the driver, as hashed
-    terms), drawn by a hash of the text and so the same at every run."""
+    """Learns from a sample of about ``most`` distinct labelled texts (the bound: at most ``2 * most`` reach the driver, as
+    hashed terms), those of the least hashes, so that copies neither fill the sample nor change it from run to run."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     rows = docs.where(where) if where is not None else docs
     rows = rows.select(id_col, F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
-    n = marks.count()
-    part = max(1, round(1_000_000 * min(1.0, most / max(1, n * 0.8))))
-    rows = rows.where(F.pmod(F.xxhash64("_t", F.lit(3)), F.lit(1_000_000)) < part)
+    rows = rows.withColumn("_at", F.pmod(F.xxhash64("_t", F.lit(3)), F.lit(1_000_000_000)))
+    n = rows.select(id_col, "_at").join(marks, id_col).agg(F.approx_count_distinct("_at", 0.02)).first()[0]
+    rows = rows.where(F.col("_at") < max(1, round(1_000_000_000 * min(1.0, most / max(1, n)))))
 
     def hashed(batch):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)], pa.binary())], ["_id", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)], pa.binary()), batch.column(2)], ["_id", "places", "_at"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    drawn = map_rows(rows, hashed, f"_id {kind}, places binary").join(marks.withColumnRenamed(id_col, "_id"), "_id").select("_y", "places")
-    got = sorted((bytes(r["places"]), r["_y"]) for r in drawn.limit(2 * most).collect())
+    drawn = map_rows(rows, hashed, f"_id {kind}, places binary, _at long").join(marks.withColumnRenamed(id_col, "_id"), "_id").select("_y", "places", "_at").distinct()
+    got = sorted((bytes(r["places"]), r["_y"]) for r in drawn.orderBy("_at", "_y", "places").limit(2 * most).collect())
     return train([(np.frombuffer(p, "<i4").astype(np.int64), int(y)) for p, y in got])
 
 

@@ -60,6 +60,24 @@ def test_clusters_split_the_bulk():
     assert np.bincount(near)[: len(centres)].min() >= 8 and np.bincount(near).max() < 300
 
 
+def test_copies_do_not_fill_the_samples(spark, monkeypatch):
+    seen = []
+    for kind, fit_one in ((langid, "kmeans"), (toxicity, "train")):
+        monkeypatch.setattr(kind, fit_one, lambda rows, *a, f=getattr(kind, fit_one): seen.append(len(rows)) or f(rows, *a))
+    rng = random.Random(6)
+    rows = [(i, prose("aa", rng), "aa") for i in range(40)] + [(100 + i, prose("bb", rng), "bb") for i in range(40)]
+    # many copies of each of 40 texts, of which any sample draws some
+    rows += [(1000 + i, rows[i % 40][1], "aa") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df, per_lang=20)
+    assert model.langs == ["aa", "bb"] and len(seen) == 2 and all(8 <= n <= 40 for n in seen), seen
+    labels = spark.createDataFrame([(r[0], int(r[2] == "bb")) for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda got: seen.append(got))
+    toxicity.fit(df, labels, most=40)
+    got = [(p.tobytes(), y) for p, y in seen[-1]]
+    assert len(set(got)) == len(got) and {y for _, y in got} == {0, 1} and 20 <= len(got) <= 80
+
+
 def test_language_without_rows(spark):
     df = labelled(spark)
     assert langid.identify(df.limit(0)).count() == 0
