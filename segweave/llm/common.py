@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,32 +28,58 @@ def shared_dir(spark: SparkSession) -> str:
     return fixed.rstrip("/")
 
 
+#: Settings of a step while it is written, put back afterwards: whole texts are long, and both sides of a Python worker hold a
+#: batch; the shuffle files of a step go when it ends.
+STEP = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside a ``with`` only."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Tables:
-    """Writes intermediate results as Parquet in the shared folder, which cuts lineage and survives lost executors."""
+    """Writes intermediate results as Parquet in the shared folder, which cuts lineage and survives lost executors.
+
+    ``drop`` removes one that no later step reads, ``close`` all of them; those that are left go when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        # the handles are taken now: the session may have been stopped when the driver ends
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        atexit.register(self.close)
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         """The table reread, and its path for ``drop``."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
-        # the shuffle files of the finished step go when the driver's handles on them are collected
-        gc.collect()
-        self.spark._jvm.System.gc()
+        with settings(self.spark, STEP):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def save(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
     def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self._conf).delete(where, True)
+
+    def close(self) -> None:
+        """Removes every table; results that read them are not to be used any more."""
+        atexit.unregister(self.close)
+        with suppress(Exception):  # the JVM may be gone, and with it whoever could delete
+            self.drop(self.root)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -60,15 +87,6 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows unless the session says otherwise: whole texts are long, and both sides hold a batch."""
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "1000")
-
-
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, step: int = 1024) -> DataFrame:
     """``mapInArrow`` over slices of at most ``step`` rows, so that a worker holds few rows at once."""
 
@@ -77,7 +95,6 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
             for at in range(0, batch.num_rows, step):
                 yield from fn(batch.slice(at, step))
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -1,19 +1,24 @@
 """Substring dedup with repeated-phrase automata: removes words covered by a window seen in an earlier document.
 
-Words are runs of bytes other than blank and 0x09 to 0x0D. Candidates meet by ``repeats``: the phrase at a window's
-anchor (``GRAM`` words) recurs if it is the anchor of another run too. The phrases that recur are compiled into
-Aho-Corasick automata (pyahocorasick), one for each shard of anchors, and the regions of all documents that hold such
-a phrase are streamed through the automaton of its shard, which locates every occurrence. The windows around an
-occurrence are then compared word for word, as strings, and the least document of each is noted.
+Words are runs of bytes other than blank and 0x09 to 0x0D.
+
+1. *Recurring passages are confirmed.* Windows meet by ``repeats``; those of an anchor are compared word for word. A
+   passage is a context with windows that occur in several places, the least document of each window, and the phrase
+   (``GRAM`` words) at its anchor.
+2. *Automata by shard.* Documents are dealt into shards of about ``SHARD`` runs, and a passage goes to the shards that hold a
+   run like it, so each shard gets no more than its own documents can hold. A shard's phrases are compiled into an
+   Aho-Corasick automaton (pyahocorasick), in several where its passages exceed ``CHUNK`` bytes.
+3. *All documents are streamed* through the automata of their shard, which locate the phrases; nothing else says where a
+   passage may stand. Windows that hold a located phrase are looked up among the passages' windows and compared with them
+   byte for byte; those that an earlier document holds too are removed.
 
 Defined cases: null text has no words; documents shorter than the window lose nothing; a window repeated within one
 document only, or in rows of one id, stays. Null ids count as greatest. Windows are judged on the input. Kept words
-are joined by one blank. Other columns are not read.
+are joined by one blank. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections import defaultdict
 from functools import partial
 
@@ -22,55 +27,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Tables, map_rows
-from .repeats import HOT, KEY, Context, Units, find, numbered
+from .common import Tables
+from .repeats import HOT, KEY, Context, Units, candidates, cut_out, judged, numbered, whole
 from .suffix_dedup import joined
+from .textnum import mix, span_hashes, word_hashes, word_spans
 
 GRAM = 8
+SHARD = 1 << 15
+CHUNK = 1 << 21
 
 
-def located(contexts: list[Context], width: int, gram: int) -> list[list[tuple[int, int, int, int]]]:
-    """Runs (start, end, least rank, count) of the windows of each context that occur more than once in all."""
+def confirmed(contexts: list[Context], width: int) -> list[list[tuple[int, int, int, int]]]:
+    """Runs (start, end, least rank, count) of the windows of each context that occur more than once under its anchor."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in contexts]
     groups: dict[int, list[int]] = defaultdict(list)
     for i, c in enumerate(contexts):
         groups[c.anchor].append(i)
-    texts: dict[int, tuple[str, list[int], list[int]]] = {}
-    automaton, phrases = ahocorasick.Automaton(), 0
     for own in groups.values():
-        if len(own) == 1:  # one content only: all its windows occur as often as it does
-            c = contexts[own[0]]
-            if c.n > 1:
-                out[own[0]] = [(0, c.content.count(b" ") + 2 - width, c.least, c.n)]
-            continue
-        for i in own:
-            text = contexts[i].content.decode("utf-8", "surrogatepass")
-            words = text.split(" ")
-            ends = np.cumsum([len(w) + 1 for w in words]).tolist()  # in " word word ... word ": the blank after each
-            starts = [e - len(w) for e, w in zip(ends, words)]
-            texts[i] = (f" {text} ", starts, ends)
-            place = contexts[i].place
-            if automaton.add_word(texts[i][0][starts[place] - 1 : ends[place + gram - 1] + 1], contexts[i].anchor):
-                phrases += 1
-    if not phrases:
-        return out
-    automaton.make_automaton()
-    for anchor, own in groups.items():
-        if len(own) == 1:
-            continue
-        number: dict[str, int] = {}  # of each distinct window
+        number: dict[bytes, int] = {}  # of each distinct window
         times, least = [], []
         windows: dict[int, list[int]] = {}
         for i in own:
-            text, starts, ends = texts.pop(i)
-            c, at = contexts[i], []
-            for end, which in automaton.iter(text):
-                if which == anchor and bisect_right(ends, end) == c.place + gram:  # the phrase ends with that many words before
-                    at = [number.setdefault(text[starts[k] : ends[k + width - 1]], len(number)) for k in range(len(starts) - width + 1)]
-                    break
-            windows[i] = at
-            for w in at:
+            c = contexts[i]
+            ends = np.cumsum([len(w) + 1 for w in c.content.split(b" ")]).tolist()
+            starts = [0, *ends]
+            windows[i] = [number.setdefault(c.content[starts[k] : ends[k + width - 1] - 1], len(number)) for k in range(len(ends) - width + 1)]
+            for w in windows[i]:
                 if w == len(times):
                     times.append(c.n)
                     least.append(c.least)
@@ -89,25 +73,170 @@ def located(contexts: list[Context], width: int, gram: int) -> list[list[tuple[i
     return out
 
 
-def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+class Words:
+    """A text's words, joined by single blanks."""
+
+    def __init__(self, joined: bytes) -> None:
+        self.joined = joined
+        data = np.frombuffer(joined, np.uint8)
+        self.starts, self.ends = word_spans(data)
+        self.codes = mix(word_hashes(data, self.starts, self.ends))
+
+    def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Of the windows that start at the words ``at``, which rise."""
+        return span_hashes(self.codes, at, at + width)
+
+    def cut(self, first: int, end: int) -> bytes:
+        return self.joined[self.starts[first] : self.ends[end - 1]]
+
+
+class Phrases:
+    """The passages of a shard: an automaton that locates their phrases, and their windows by hash."""
+
+    def __init__(self, passages: list[tuple[bytes, int, list[tuple[int, int, int]]]], units: Units) -> None:
+        self.units, self.automaton = units, ahocorasick.Automaton()
+        self.words = Words(b" ".join(content for content, _, _ in passages))
+        at, least, base = [], [], 0
+        for content, place, runs in passages:
+            phrase = self.words.cut(base + place, base + place + units.gram).decode("utf-8", "surrogatepass")
+            self.automaton.add_word(f" {phrase} ", True)
+            for start, end, lowest in runs:
+                at.append(np.arange(base + start, base + end))
+                least.append(np.full(end - start, lowest, np.int64))
+            base += units.size(content)
+        self.automaton.make_automaton()
+        self.at, self.least = np.concatenate(at), np.concatenate(least)
+        hashes = np.empty(len(self.at), np.uint64)
+        rising = np.argsort(self.at, kind="stable")
+        hashes[rising] = self.words.hashes(self.at[rising], units.width)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.least = hashes[order], self.at[order], self.least[order]
+
+    def located(self, joined: bytes) -> np.ndarray:
+        """The first words of the phrases in a text, by the automaton."""
+        text = joined.decode("utf-8", "surrogatepass")
+        found = [end for end, _ in self.automaton.iter(f" {text} ")]
+        if not found:
+            return np.empty(0, np.int64)
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")])  # the blank after each word of " word ... word "
+        return np.searchsorted(ends, np.unique(found)) - (self.units.gram - 1)
+
+    def repeated(self, joined: bytes, rank: int) -> list[tuple[int, int]]:
+        """Runs of windows of a text, of those that hold a located phrase, that a document of lower rank holds too."""
+        width, place = self.units.width, self.located(joined)
+        if not len(place):
+            return []
+        words = Words(joined)
+        total = len(words.starts) - width + 1
+        if total <= 0:
+            return []
+        edge = np.zeros(total + 1, np.int64)
+        np.add.at(edge, np.clip(place - (width - self.units.gram), 0, total), 1)
+        np.add.at(edge, np.clip(place + 1, 0, total), -1)
+        k = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        hashes = words.hashes(k, width)
+        entry = np.searchsorted(self.hashes, hashes)
+        entry[entry == len(self.hashes)] = 0
+        known = self.hashes[entry] == hashes
+        k, entry = k[known], entry[known]
+        if not len(k):
+            return []
+        at = self.at[entry]
+        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1] + 1) | (at[1:] != at[:-1] + 1)]))
+        good = np.zeros(len(k), bool)
+        lowest = self.least[entry]
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(k)]):
+            a, b, n = int(k[lo]), int(at[lo]), hi - lo - 1 + width
+            if words.cut(a, a + n) == self.words.cut(b, b + n):
+                good[lo:hi] = True
+                continue
+            for x in range(lo, hi):  # different windows of one hash
+                e, h = int(entry[x]), self.hashes[entry[x]]
+                while e < len(self.hashes) and self.hashes[e] == h and not good[x]:
+                    p = int(self.at[e])
+                    good[x] = words.cut(int(k[x]), int(k[x]) + width) == self.words.cut(p, p + width)
+                    lowest[x] = self.least[e]
+                    e += 1
+        k = k[good & (lowest < rank)]
+        if not len(k):
+            return []
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1] + 1]))
+        return [(int(k[lo]), int(k[hi - 1]) + 1) for lo, hi in zip(first, [*first[1:], len(k)])]
+
+
+def passages(rows: DataFrame, kinds: DataFrame, crowd: DataFrame, units: Units, tables: Tables, hot: int) -> DataFrame:
+    """(anchor, kind, place, context, windows) of every context that holds a window of several documents."""
+    crowded = kinds.join(crowd, "anchor")
+    single = kinds.where("least < most").join(crowd.select("anchor"), "anchor", "left_anti").withColumn("busy", F.lit(None).cast("boolean"))
+    cut, cut_path = tables.write(cut_out(rows, crowded.unionByName(single.select(crowded.columns)), units))
+    answers = tables.save(judged(cut.where("busy is not null"), crowd, units, partial(confirmed, width=units.width), tables, hot))
+    per_kind = F.struct("place", "context", "least", "n")
+    once = cut.groupBy("anchor", "kind").agg(F.min(per_kind).alias("c"), F.first(F.col("busy").isNull()).alias("single"))
+    own = whole(F.col("first"), F.col("last"))
+    alone = once.where("single").join(kinds.select("anchor", "kind", F.col("one.first").alias("first"), F.col("one.last").alias("last"), "least", "n"), ["anchor", "kind"]).select("anchor", "kind", "c.place", "c.context", own.alias("windows"))
+    found = once.where("not single").join(answers, ["anchor", "kind"]).select("anchor", "kind", "c.place", "c.context", "windows")
+    made = tables.save(alone.unionByName(found))
+    tables.drop(cut_path)
+    return made
+
+
+def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """(id, n_words, n_removed, removed (array of first word, end), kept (text)) of every row."""
     units = Units(True, width, min(GRAM, width))
-    found = find(numbered(docs, id_col, text_col), units, partial(located, width=width, gram=units.gram), tables, hot).where("least < rank")
-    spans = found.groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("end") - 1 + width).alias("end"))).alias("spans"))
-
-    def run(batch):
-        out: list[list] = [[], [], [], []]
-        for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            gone = joined([(s["start"], s["end"]) for s in own or ()])
+    rows = numbered(docs, id_col, text_col)
+    runs, kinds, crowd = candidates(rows, units, tables, hot)
+    known = passages(rows, kinds, crowd, units, tables, hot)
+    shards = max(1, -(-runs.count() // shard), -(-docs.count() // (shard // 16)))
+    home = F.pmod(F.xxhash64(*KEY), F.lit(shards)).cast("int").alias("shard")
+    wanted = runs.select("anchor", "kind", home).distinct().join(known, ["anchor", "kind"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    nothing = lambda t: F.lit(None).cast(t)
+    texts = numbered(docs, id_col, text_col, F.col(id_col).alias("own")).select(home, F.lit(0).alias("side"), "own", "rank", "text", nothing("int").alias("place"), nothing("array<struct<start:int,end:int,least:long,n:long>>").alias("windows"))
+    phrases = wanted.select("shard", F.lit(1).alias("side"), nothing(kind).alias("own"), nothing("long").alias("rank"), F.col("context").cast("string").alias("text"), "place", "windows")
+    dealt = texts.unionByName(phrases).repartition("shard").sortWithinPartitions("shard", "side")
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+
+    def answer(held: list[list]) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], []]
+        for own, _, raw, spans in held:
+            words = raw.split()
+            gone = joined([(lo, hi - 1 + width) for lo, hi in spans])
             kept, at = [], 0
             for lo, hi in gone:
                 kept += words[at:lo]
                 at = hi
             kept += words[at:]
-            for column, x in zip(out, (len(words), sum(hi - lo for lo, hi in gone), [{"start": lo, "end": hi} for lo, hi in gone], b" ".join(kept).decode("utf-8", "surrogatepass"))):
+            for column, x in zip(out, (own, len(words), sum(hi - lo for lo, hi in gone), [{"start": lo, "end": hi} for lo, hi in gone], b" ".join(kept).decode("utf-8", "surrogatepass"))):
                 column.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[3], pa.string())], [id_col, "n_words", "n_removed", "removed", "kept"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], id_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[4], pa.string())], [id_col, "n_words", "n_removed", "removed", "kept"])
+
+    def search(held: list[list], waiting: list[tuple]) -> None:
+        if waiting and held:
+            phrases = Phrases(waiting, units)
+            for doc in held:
+                doc[3] += phrases.repeated(doc[2], doc[1])
+
+    def run(batches):
+        now, held, waiting, size = None, [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for home, side, own, rank, text, place, windows in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if home != now:
+                        search(held, waiting)
+                        for k in range(0, len(held), 256):
+                            yield answer(held[k : k + 256])
+                        now, held, waiting, size = home, [], [], 0
+                    raw = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+                    if side == 0:
+                        held.append([own, rank, raw, []])
+                        continue
+                    waiting.append((raw, place, [(w["start"], w["end"], w["least"]) for w in windows]))
+                    size += len(raw)
+                    if size >= chunk:
+                        search(held, waiting)
+                        waiting, size = [], 0
+        search(held, waiting)
+        for k in range(0, len(held), 256):
+            yield answer(held[k : k + 256])
 
-    both = numbered(docs, id_col, text_col, id_col).join(spans, KEY, "left").select(id_col, "text", "spans")
-    return map_rows(both, run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string", 256)
+    return dealt.mapInArrow(run, f"{id_col} {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")

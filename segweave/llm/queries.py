@@ -55,7 +55,7 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark, "op7")
     cut = packing.pieces(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
-    return packing.pack(tables.save(cut), tables).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(tables.save(cut)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,17 @@ inside it. Equal windows have equal anchors at equal places, so only windows who
 those with different anchors need never meet. Consecutive windows under one anchor occurrence form a *run*; the units
 that a run's windows cover are its *context*. The steps:
 
-1. ``runs_of``: one pass over all texts writes a row of numbers per run, about two per ``width`` units, with the
-   anchor and a hash of the context. Runs whose anchor occurs once are dropped.
-2. Runs with equal contexts are one *kind*, counted with partial counts before the shuffle. Where an anchor has one kind
-   only, all its windows occur as often as the kind, and no text has to move.
-3. For the other anchors the context of each kind is cut once, from one text that holds it.
-4. ``compare``: a kernel compares the kinds of each anchor and says which of their windows repeat. The windows of an
-   anchor with more than ``HOT`` kinds are dealt by their own 128-bit hashes over all tasks and counted there, so no
-   anchor has to fit into a task.
-5. The answers go back along (anchor, kind) to the runs.
+1. ``candidates``: one pass over all texts writes a row of numbers per run, about two per ``width`` units, with the
+   anchor and a hash of the context. Runs whose anchor occurs once are dropped. Runs with equal contexts are one *kind*,
+   counted with partial counts before the shuffle. Where an anchor has one kind only, all its windows occur as often as
+   the kind.
+2. ``cut_out``: the context of a kind is cut once, from one text that holds it.
+3. ``judged``: a kernel compares the contexts of each anchor and says which of their windows repeat. An anchor with more
+   than ``hot`` kinds is dealt in pieces: a piece holds the windows that start within ``step`` units of each other, as
+   seen from the anchor, and meets only pieces with which it shares the units that all these windows have in common.
+   Equal pieces are counted before they move. Where even such a group has more than ``hot`` different pieces, they are
+   cut once more into single windows, whose groups hold equal windows only. So no anchor has to fit into a task, and
+   every comparison is of the units themselves.
 
 Rows are known by their id and a 64-bit hash of their text, so rows with one id and different texts stay apart, and
 equal rows get equal answers. Anchor and context hash tell contexts apart by 128 bits.
@@ -26,14 +28,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from .common import Tables, map_rows
 from .textnum import BYTE_CODES, GRAM_CODES, byte_gram_hashes, gram_hashes, mix, span_hashes, window_argmin, word_hashes, word_spans
 
-HOT = 8192
+HOT = 512
 KEY = ["rank", "row"]
 WINDOW = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("least", pa.int64()), ("n", pa.int64())])
 WINDOWS = "array<struct<start:int,end:int,least:long,n:long>>"
@@ -66,9 +68,17 @@ class Units:
         kind = mix(content + (place - first).astype(np.uint64) * GRAM_CODES[1] + (last - first).astype(np.uint64) * GRAM_CODES[2])
         return grams[place].view(np.int64), kind.view(np.int64), place, first, last
 
-    def cutter(self, text: str | None) -> Callable[[int, int], bytes]:
+    @property
+    def step(self) -> int:
+        """Windows in a piece."""
+        return max(1, self.width // 16)
+
+    def size(self, content: bytes) -> int:
+        """The units of a context."""
+        return content.count(b" ") + 1 if self.words else len(content)
+
+    def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
         """Gives the units from one up to another, words with a blank between."""
-        raw = bytes_of(text).tobytes()
         if not self.words:
             return lambda lo, hi: raw[lo:hi]
         raw = b" ".join(raw.split())
@@ -97,19 +107,27 @@ def runs_of(rows: DataFrame, units: Units) -> DataFrame:
     return map_rows(rows.select(*KEY, "text"), run, "anchor long, kind long, rank long, row long, place int, first int, last int", 128)
 
 
-def contexts(texts_with_kinds: DataFrame, units: Units) -> DataFrame:
+def contexts(texts_with_kinds: DataFrame, units: Units, most_bytes: int = 1 << 22) -> DataFrame:
     """(anchor, kind, place, n, least, busy, context); ``place`` is the anchor's place in the context."""
     names = ["anchor", "kind", "place", "n", "least", "busy", "context"]
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batch):
         out: list[list] = [[] for _ in names]
-        for text, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            cut = units.cutter(text)
-            for k in kinds:
-                for column, x in zip(out, (k["anchor"], k["kind"], k["place"] - k["first"], k["n"], k["least"], k["busy"], cut(k["first"], k["last"] + units.width))):
+        size = 0
+        for at in range(batch.num_rows):
+            cut = units.cutter(bytes_of(batch.column(0)[at].as_py()).tobytes())
+            for k in batch.column(1)[at]:
+                k = k.as_py()
+                content = cut(k["first"], k["last"] + units.width)
+                for column, x in zip(out, (k["anchor"], k["kind"], k["place"] - k["first"], k["n"], k["least"], k["busy"], content)):
                     column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+                size += len(content) + 64
+                if size >= most_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+                    out, size = [[] for _ in names], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
     return map_rows(texts_with_kinds.select("text", "kinds"), run, "anchor long, kind long, place int, n long, least long, busy boolean, context binary", 64)
 
@@ -129,34 +147,52 @@ class Context:
 Kernel = Callable[[list[Context]], list[list[tuple[int, int, int, int]]]]
 
 
-def find(docs: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int = HOT) -> DataFrame:
-    """(rank, row, start, end, least, n): windows start to end - 1 (in units) of a document, which occur n > 1 times in all,
-    first in the document of rank ``least``. ``docs`` comes from ``numbered``."""
+def candidates(docs: DataFrame, units: Units, tables: Tables, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables of what may repeat: runs; kinds (anchor, kind, n, least, most, one); crowd (anchor, busy), the anchors with
+    more than one kind. ``docs`` comes from ``numbered``; ``one`` tells where a kind can be cut."""
     every, every_path = tables.write(runs_of(docs, units))
     # a table of its own, so that both sides of the join are plain exchanges and Spark can split a frequent anchor
-    twice = tables.save(every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"))
+    twice, twice_path = tables.write(every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"))
     runs = tables.save(every.join(twice, "anchor"))
     tables.drop(every_path)
-    kinds = runs.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min("rank").alias("least"), F.min(F.struct(*KEY, "place", "first", "last")).alias("one"))
+    tables.drop(twice_path)
+    kinds = runs.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min("rank").alias("least"), F.max("rank").alias("most"), F.min(F.struct(*KEY, "place", "first", "last")).alias("one"))
     kinds = tables.save(kinds)
     crowd = tables.save(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", (F.col("m") > hot).alias("busy")))
+    return runs, kinds, crowd
+
+
+def cut_out(docs: DataFrame, kinds: DataFrame, units: Units) -> DataFrame:
+    """The contexts of ``kinds`` (with a column busy). Rows equal in id and text cut theirs twice; whoever reads drops repeats."""
     held = F.struct("anchor", "kind", "one.place", "one.first", "one.last", "n", "least", "busy")
-    by_row = kinds.join(crowd, "anchor").groupBy(F.col("one.rank").alias("rank"), F.col("one.row").alias("row")).agg(F.collect_list(held).alias("kinds"))
-    # rows equal in id and text cut the same contexts twice: the kernel's stream and by_window drop repeats
-    cut = contexts(docs.join(by_row, KEY).select("text", "kinds"), units)
+    by_row = kinds.groupBy(F.col("one.rank").alias("rank"), F.col("one.row").alias("row")).agg(F.collect_list(held).alias("kinds"))
+    return contexts(docs.join(by_row, KEY).select("text", "kinds"), units)
+
+
+def whole(first: Column, last: Column) -> Column:
+    """All windows of a run, as one."""
+    return F.array(F.struct(F.lit(0).alias("start"), (last - first + 1).cast("int").alias("end"), "least", "n"))
+
+
+def judged(cut: DataFrame, crowd: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int = HOT) -> DataFrame:
+    """(anchor, kind, windows) of the contexts of crowded anchors, where any window repeats."""
     if crowd.where("busy").isEmpty():
-        answers = compare(cut, kernel)
-    else:
-        cut = tables.save(cut)
-        answers = compare(cut.where("not busy"), kernel).unionByName(by_window(cut.where("busy").dropDuplicates(["anchor", "kind"]), units, tables))
-    answers = tables.save(answers)
-    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("one.last") - F.col("one.first") + 1).alias("end"), "least", "n"))
-    alone = kinds.join(crowd.select("anchor"), "anchor", "left_anti").select("anchor", "kind", whole.alias("windows"))
+        return compare(cut, kernel)
+    cut = tables.save(cut)
+    return compare(cut.where("not busy"), kernel).unionByName(by_pieces(cut.where("busy").dropDuplicates(["anchor", "kind"]), units, kernel, tables, hot, units.step))
+
+
+def find(docs: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int = HOT) -> DataFrame:
+    """(rank, row, start, end, least, n): windows start to end - 1 (in units) of a document, which occur n > 1 times in all,
+    first in the document of rank ``least``. ``docs`` comes from ``numbered``."""
+    runs, kinds, crowd = candidates(docs, units, tables, hot)
+    answers = tables.save(judged(cut_out(docs, kinds.join(crowd, "anchor"), units), crowd, units, kernel, tables, hot))
+    alone = kinds.join(crowd.select("anchor"), "anchor", "left_anti").select("anchor", "kind", whole(F.col("one.first"), F.col("one.last")).alias("windows"))
     spans = runs.select("anchor", "kind", *KEY, "first").join(alone.unionByName(answers), ["anchor", "kind"]).select(*KEY, "first", F.explode("windows").alias("w"))
     return spans.select(*KEY, (F.col("first") + F.col("w.start")).alias("start"), (F.col("first") + F.col("w.end")).alias("end"), "w.least", "w.n")
 
 
-def compare(cut: DataFrame, kernel: Kernel, most_bytes: int = 1 << 19) -> DataFrame:
+def compare(cut: DataFrame, kernel: Kernel, most_bytes: int = 1 << 17) -> DataFrame:
     """(anchor, kind, windows): the repeated windows of each distinct context."""
     dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "kind").select("anchor", "kind", "place", "n", "least", "context")
 
@@ -170,8 +206,8 @@ def compare(cut: DataFrame, kernel: Kernel, most_bytes: int = 1 << 19) -> DataFr
         group: list[tuple] = []
         size, last = 0, (None, None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     if row[:2] == last:
                         continue
                     if size >= most_bytes and row[0] != last[0]:
@@ -186,22 +222,45 @@ def compare(cut: DataFrame, kernel: Kernel, most_bytes: int = 1 << 19) -> DataFr
     return dealt.mapInArrow(run, f"anchor long, kind long, windows {WINDOWS}")
 
 
-def by_window(once: DataFrame, units: Units, tables: Tables) -> DataFrame:
-    """As the kernel, but each window travels by its hash and is counted where all with that hash meet."""
+def pieces_of(busy: DataFrame, units: Units, step: int) -> DataFrame:
+    """(anchor, kind, slice, at, lo, piece, n, least): the windows that start from ``lo`` on in the context, at the same distances
+    (to ``step``) from the anchor, which is at ``at`` in the piece. ``slice`` names anchor, distance and the common units."""
+    names = ["anchor", "kind", "slice", "at", "lo", "piece", "n", "least"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
     def run(batch):
-        out: list[list] = [[], [], [], [], [], []]
-        for anchor, kind, content, n, least in zip(*(c.to_pylist() for c in batch.columns)):
-            cut = units.cutter(content.decode("utf-8", "surrogatepass")) if units.words else lambda lo, hi, c=content: c[lo:hi]
-            total = content.count(b" ") + 1 if units.words else len(content)
-            for at in range(total - units.width + 1):
-                for column, x in zip(out, (xxh3_128_digest(cut(at, at + units.width)), anchor, kind, at, n, least)):
+        out: list[list] = [[] for _ in names]
+        for anchor, kind, place, content, n, least in zip(*(c.to_pylist() for c in batch.columns)):
+            cut, last = units.cutter(content), units.size(content) - units.width
+            for far in range(max(0, place - last) // step, place // step + 1):
+                near = place - far * step  # the latest start of a window of this slice
+                lo, hi = max(0, near - step + 1), min(last, near)
+                if lo > hi:
+                    continue
+                name = xxh3_64_intdigest(cut(near, near - step + 1 + units.width), (anchor + far) & 0xFFFFFFFFFFFFFFFF)
+                for column, x in zip(out, (anchor, kind, name - (1 << 63), place - lo, lo, cut(lo, hi + units.width), n, least)):
                     column.append(x)
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["window", "anchor", "kind", "at", "n", "least"])
-
-    each = tables.save(map_rows(once.select("anchor", "kind", "context", "n", "least"), run, "window binary, anchor long, kind long, at int, n long, least long", 32))
-    total = each.groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 1")
-    found = each.select("window", "anchor", "kind", "at").join(total, "window")
-    one = F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "least", "n")
-    return found.groupBy("anchor", "kind").agg(F.collect_list(one).alias("windows"))  # at most ``width`` windows each
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], names)
+
+    return map_rows(busy.select("anchor", "kind", "place", "context", "n", "least"), run, "anchor long, kind long, slice long, at int, lo int, piece binary, n long, least long", 32)
+
+
+def by_pieces(busy: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int, step: int) -> DataFrame:
+    """As ``compare``, for contexts of anchors that have too many of them for one task."""
+    each = tables.save(pieces_of(busy, units, step))
+    name = ["slice", "at", "piece"]
+    distinct = each.groupBy(*name).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    if step == 1:  # a piece is a window
+        one = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), "least", "n"))
+        answers = distinct.where("n > 1").select(*name, one.alias("windows"))
+    else:
+        distinct = tables.save(distinct.select(*name, "n", "least", F.monotonically_increasing_id().alias("id")))
+        sizes = tables.save(distinct.groupBy("slice").agg((F.count("*") > hot).alias("busy")))
+        dealt = distinct.join(sizes, "slice").select(F.col("slice").alias("anchor"), F.col("id").alias("kind"), F.col("at").alias("place"), F.col("piece").alias("context"), "n", "least", "busy")
+        found = compare(dealt.where("not busy"), kernel)
+        if not sizes.where("busy").isEmpty():
+            found = found.unionByName(by_pieces(dealt.where("busy"), units, kernel, tables, hot, 1))
+        answers = distinct.select(*name, "id").join(found.select(F.col("kind").alias("id"), "windows"), "id").drop("id")
+    one = F.struct((F.col("lo") + F.col("w.start")).alias("start"), (F.col("lo") + F.col("w.end")).alias("end"), "w.least", "w.n")
+    back = each.select("anchor", "kind", "lo", *name).join(tables.save(answers), name).select("anchor", "kind", "lo", F.explode("windows").alias("w"))
+    return back.groupBy("anchor", "kind").agg(F.collect_list(one).alias("windows"))  # at most ``width`` windows each

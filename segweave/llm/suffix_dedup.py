@@ -1,10 +1,12 @@
 """Suffix-array dedup: removes every byte covered by a string of ``width`` bytes that also starts anywhere else.
 
-Candidates meet by ``repeats``. The kernel is a suffix array by bucket-pointer refinement, as deep as the width:
-positions start in buckets of equal 8-byte grams; each round sorts them by the bucket identifiers at this and later
-offsets (three at a time, so depth grows threefold) and renames the buckets, which the next round uses. Windows in one
-bucket at the end are equal byte by byte. Before that a rolling hash drops contexts without any window that could
-repeat, which only spares work: equal windows have equal hashes.
+Candidates meet by ``repeats``: an anchor is an initial bucket, of the windows that hold one 16-byte gram at one place. The
+kernel refines the buckets of an anchor as a suffix array does by bucket pointers, as deep as the width: positions
+start in buckets of equal 8-byte grams; each round sorts them by the bucket identifiers at this and later offsets
+(three at a time, so depth grows threefold) and renames the buckets, which the next round uses. Windows in one bucket at
+the end are equal byte by byte. Before that a rolling hash drops contexts without any window that could repeat, which
+only spares work: equal windows have equal hashes. Anchors of one kind of context need no refinement: their windows have
+equal copies by the 128 bits that tell contexts apart.
 
 Defined cases: null text counts as empty; texts shorter than the width lose nothing; matches never cross documents;
 equal rows are repeats of each other and lose all their bytes from ``width`` bytes on. Strings are judged on the input, so
@@ -13,7 +15,6 @@ all copies go. Removal can split a code point, so what is left is bytes. Other c
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from functools import partial
 
@@ -67,44 +68,6 @@ def refined(data: np.ndarray, width: int) -> np.ndarray:
     return bucket
 
 
-def by_slices(contexts: list[Context], width: int, step: int = 24) -> list[list[tuple[int, int, int, int]]]:
-    """As ``compared`` for the many contexts of one anchor: ``step`` windows at a time, counted from the anchor.
-
-    Equal windows start at equal distances from it. The pieces of a slice are mostly equal, and equal ones are compared as one.
-    """
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in contexts]
-    for far in range(max(c.place for c in contexts), min(c.place - len(c.content) + width for c in contexts) - 1, -step):
-        pieces: dict[tuple[bytes, int], list] = {}
-        for i, c in enumerate(contexts):  # windows that start far to far - step + 1 bytes before the anchor
-            lo, hi = max(0, c.place - far), min(len(c.content) - width, c.place - far + step - 1)
-            if lo <= hi:
-                piece = pieces.setdefault((c.content[lo : hi + width], c.place - lo), [0, []])
-                piece[0] += c.n
-                piece[1].append((i, lo))
-        found = compared([Context(0, at, content, n, 0) for (content, at), (n, _) in pieces.items()], width) if pieces else []
-        for (_, members), runs in zip(pieces.values(), found):
-            for i, lo in members:
-                for start, end, *rest in runs:
-                    if out[i] and out[i][-1][1] == start + lo:
-                        out[i][-1] = (out[i][-1][0], end + lo, *rest)
-                    else:
-                        out[i].append((start + lo, end + lo, *rest))
-    return out
-
-
-def repeated(contexts: list[Context], width: int, many: int = 256) -> list[list[tuple[int, int, int, int]]]:
-    """Runs (start, end, 0, 2) of the windows of each context that occur more than once among those of its anchor."""
-    by_anchor: dict[int, list[int]] = defaultdict(list)
-    for i, c in enumerate(contexts):
-        by_anchor[c.anchor].append(i)
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in contexts]
-    few = [i for own in by_anchor.values() if len(own) <= many for i in own]
-    for own, how in [(few, compared), *((own, by_slices) for own in by_anchor.values() if len(own) > many)]:
-        for i, runs in zip(own, how([contexts[i] for i in own], width) if own else []):
-            out[i] = runs
-    return out
-
-
 def compared(contexts: list[Context], width: int) -> list[list[tuple[int, int, int, int]]]:
     """Runs (start, end, 0, 2) of the windows of each context that occur more than once in all."""
     sizes = np.array([len(c.content) for c in contexts])
@@ -152,7 +115,7 @@ def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_
     """(id, columns of ``carry``, n_bytes, n_removed, removed (array of start, end), kept) of every row; kept is binary, or the text it
     spells without bytes that spell nothing."""
     units = Units(False, width, min(GRAM, 1 << (width.bit_length() - 1)))
-    spans = find(numbered(docs, id_col, text_col), units, partial(repeated, width=width), tables, hot).groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("end") - 1 + width).alias("end"))).alias("spans"))
+    spans = find(numbered(docs, id_col, text_col), units, partial(compared, width=width), tables, hot).groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("end") - 1 + width).alias("end"))).alias("spans"))
     texts = docs.select(F.struct(id_col, *carry).alias("own"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     keep = [id_col, *carry]
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}").fields])
