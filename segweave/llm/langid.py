@@ -134,6 +134,19 @@ def limits(cos: np.ndarray, sizes: np.ndarray, tail: float, margin: float) -> tu
     return margin * float(np.quantile(cos / expected(sizes, bend), tail)), bend
 
 
+def packed(counted: np.ndarray) -> bytes:
+    """The places of the n-grams that occur, then how often (65,535 at most), as unsigned 16-bit integers."""
+    at = np.flatnonzero(counted)
+    return np.concatenate([at, np.minimum(counted[at], 65535)]).astype("<u2").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    at, n = np.frombuffer(data, "<u2").reshape(2, -1)
+    out = np.zeros(DIM, np.uint16)
+    out[at] = n
+    return out
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, per_lang: int = 600, k: int = 6, tail: float = 0.01, margin: float = 0.75) -> LangModel:
     """Learns from the rows of ``df`` that ``where`` keeps and that have a language.
 
@@ -175,13 +188,13 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
 
     def sampled(batch):
         rows = [(lang.as_py(), at.as_py(), c) for text, lang, at in zip(*batch.columns) if (c := counts(text.as_py())) is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in rows], pa.string()), pa.array([x for _, x, _ in rows], pa.float64()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, _, c in rows], pa.binary())], ["lang", "at", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in rows], pa.string()), pa.array([x for _, x, _ in rows], pa.float64()), pa.array([packed(c) for _, _, c in rows], pa.binary())], ["lang", "at", "counts"])
 
     rows = map_rows(drawn, sampled, "lang string, at double, counts binary").orderBy("at", "lang", "counts").limit(2 * per_lang * max(1, len(sizes))).collect()
     model = LangModel(sorted({r["lang"] for r in rows}), idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, np.float32))
     parts, owner, floor, bend = [], [], [], []
     for at, lang in enumerate(model.langs):
-        own = [np.frombuffer(c, "<u2") for c in sorted([bytes(r["counts"]) for r in rows if r["lang"] == lang][: 2 * per_lang])]
+        own = [unpacked(c) for c in sorted([bytes(r["counts"]) for r in rows if r["lang"] == lang][: 2 * per_lang])]
         vectors = np.stack([model.vector(c) for c in own])
         centres, near = kmeans(vectors, k)
         least = limits(without_self(vectors, near), np.array([np.count_nonzero(c) for c in own]), tail, margin)
