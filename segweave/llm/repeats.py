@@ -183,13 +183,12 @@ def judged(cut: DataFrame, crowd: DataFrame, units: Units, kernel: Kernel, table
 
 
 def find(docs: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot: int = HOT) -> DataFrame:
-    """(rank, row, start, end, least, n): windows start to end - 1 (in units) of a document, which occur n > 1 times in all,
-    first in the document of rank ``least``. ``docs`` comes from ``numbered``."""
+    """(rank, row, windows): for each run of a document its windows start to end - 1 (in units of the document) that occur
+    n > 1 times in all, first in the document of rank ``least``. ``docs`` comes from ``numbered``."""
     runs, kinds, crowd = candidates(docs, units, tables, hot)
     answers = tables.save(judged(cut_out(docs, kinds.join(crowd, "anchor"), units), crowd, units, kernel, tables, hot))
     alone = kinds.join(crowd.select("anchor"), "anchor", "left_anti").select("anchor", "kind", whole(F.col("one.first"), F.col("one.last")).alias("windows"))
-    spans = runs.select("anchor", "kind", *KEY, "first").join(alone.unionByName(answers), ["anchor", "kind"]).select(*KEY, "first", F.explode("windows").alias("w"))
-    return spans.select(*KEY, (F.col("first") + F.col("w.start")).alias("start"), (F.col("first") + F.col("w.end")).alias("end"), "w.least", "w.n")
+    return runs.select("anchor", "kind", *KEY, "first").join(alone.unionByName(answers), ["anchor", "kind"]).select(*KEY, shifted("first").alias("windows"))
 
 
 def compare(cut: DataFrame, kernel: Kernel, most_bytes: int = 1 << 17) -> DataFrame:
@@ -251,7 +250,9 @@ def by_pieces(busy: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot
     name = ["slice", "at", "piece"]
     distinct = each.groupBy(*name).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     if step == 1:  # a piece is a window
-        one = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), "least", "n"))
+        # the kernel of bytes tells neither who is first nor how often: only what is told alike can be joined
+        told = ["least", "n"] if units.words else [F.lit(0).cast("long").alias("least"), F.lit(2).cast("long").alias("n")]
+        one = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), *told))
         answers = distinct.where("n > 1").select(*name, one.alias("windows"))
     else:
         distinct = tables.save(distinct.select(*name, "n", "least", F.monotonically_increasing_id().alias("id")))
@@ -261,6 +262,23 @@ def by_pieces(busy: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot
         if not sizes.where("busy").isEmpty():
             found = found.unionByName(by_pieces(dealt.where("busy"), units, kernel, tables, hot, 1))
         answers = distinct.select(*name, "id").join(found.select(F.col("kind").alias("id"), "windows"), "id").drop("id")
-    one = F.struct((F.col("lo") + F.col("w.start")).alias("start"), (F.col("lo") + F.col("w.end")).alias("end"), "w.least", "w.n")
-    back = each.select("anchor", "kind", "lo", *name).join(tables.save(answers), name).select("anchor", "kind", "lo", F.explode("windows").alias("w"))
-    return back.groupBy("anchor", "kind").agg(F.collect_list(one).alias("windows"))  # at most ``width`` windows each
+    back = each.select("anchor", "kind", "lo", *name).join(tables.save(answers), name).select("anchor", "kind", shifted("lo").alias("windows"))
+    return map_rows(back.groupBy("anchor", "kind").agg(F.flatten(F.collect_list("windows")).alias("windows")), met, f"anchor long, kind long, windows {WINDOWS}", 4096)
+
+
+def shifted(by: str) -> Column:
+    return F.transform("windows", lambda w: F.struct((w["start"] + F.col(by)).alias("start"), (w["end"] + F.col(by)).alias("end"), w["least"].alias("least"), w["n"].alias("n")))
+
+
+def met(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Adjacent windows with one answer become one run; a context has at most ``width`` windows."""
+    out = []
+    for windows in batch.column(2).to_pylist():
+        runs: list[dict] = []
+        for w in sorted(windows, key=lambda w: w["start"]):
+            if runs and runs[-1]["end"] == w["start"] and (runs[-1]["least"], runs[-1]["n"]) == (w["least"], w["n"]):
+                runs[-1]["end"] = w["end"]
+            else:
+                runs.append(w)
+        out.append(runs)
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(WINDOW))], ["anchor", "kind", "windows"])

@@ -115,7 +115,9 @@ def dedup(docs: DataFrame, tables: Tables, width: int = 400, id_col: str = "doc_
     """(id, columns of ``carry``, n_bytes, n_removed, removed (array of start, end), kept) of every row; kept is binary, or the text it
     spells without bytes that spell nothing."""
     units = Units(False, width, min(GRAM, 1 << (width.bit_length() - 1)))
-    spans = find(numbered(docs, id_col, text_col), units, partial(compared, width=width), tables, hot).groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("end") - 1 + width).alias("end"))).alias("spans"))
+    spans = find(numbered(docs, id_col, text_col), units, partial(compared, width=width), tables, hot)
+    # equal rows bring equal answers, of which one is kept
+    spans = spans.groupBy(*KEY).agg(F.flatten(F.collect_set(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), (w["end"] - 1 + width).alias("end"))))).alias("spans"))
     texts = docs.select(F.struct(id_col, *carry).alias("own"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     keep = [id_col, *carry]
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}").fields])

@@ -1,12 +1,15 @@
 """Suffix-array dedup and repeated-phrase dedup against all windows."""
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from segweave.llm import phrase_dedup, suffix_dedup
 from segweave.llm.common import Tables
+from segweave.llm.repeats import Units
 
 from .plain import table, texts, words_of
 
@@ -44,7 +47,7 @@ def plain_words(docs, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "hot"), [(400, 8192), (40, 8192), (40, 1), (5, 8192)])
+@pytest.mark.parametrize(("width", "hot"), [(400, 512), (40, 512), (400, 1), (40, 1), (40, 3), (5, 512)])
 def test_bytes(spark, width, hot):
     df = table(spark, texts(width, 50))
     docs = [(r["doc_id"], r["text"]) for r in df.collect()]
@@ -52,7 +55,7 @@ def test_bytes(spark, width, hot):
     assert got == plain_bytes(docs, width)
 
 
-@pytest.mark.parametrize(("width", "hot"), [(50, 8192), (50, 1), (4, 8192), (1, 8192)])
+@pytest.mark.parametrize(("width", "hot"), [(50, 512), (50, 1), (50, 3), (4, 512), (1, 512)])
 def test_words(spark, width, hot):
     df = table(spark, texts(width, 50))
     docs = [(r["doc_id"], r["text"]) for r in df.collect()]
@@ -60,6 +63,34 @@ def test_words(spark, width, hot):
     assert got == plain_words(docs, width)
 
 
+def test_long_texts(spark):
+    """Texts of more than 256 kB, which prefix sums and windows take in pieces."""
+    rng = random.Random(8)
+    say = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(k))
+    first, other, shared = say(45_000), say(40_000), say(700)
+    docs = [(1, f"{first} {shared} {say(100)}"), (2, f"{other} {first[200_000:280_000]} {say(50)}"), (3, f"{say(60)} {shared}"), (4, say(500))]
+    assert len(docs[0][1]) > 300_000
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in phrase_dedup.dedup(df, Tables(spark, "t"), chunk=20_000).collect()}
+    assert got == plain_words(docs, 50) and got[2][1] > 8_000 and got[3][1] == 700
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.dedup(df, Tables(spark, "t")).collect()}
+    assert got == plain_bytes(docs, 400)
+
+
+def test_automata_decide(spark, monkeypatch):
+    """Whatever the automata do not locate stays."""
+    said = texts(5, 40)
+    docs = [(i, t) for i, t in enumerate([*said, *said])]
+    phrases = phrase_dedup.Phrases([(b"a b c d e f", 1, [(0, 2, 3)])], Units(True, 5, 2))
+    assert phrases.located(b"x a b c d e f b c").tolist() == [2, 7]
+    assert phrases.repeated(b"x a b c d e f b c", 9) == [(1, 3)] and phrases.repeated(b"x a b c d e f b c", 3) == []
+    monkeypatch.setattr(phrases, "located", lambda text: np.empty(0, np.int64))
+    assert phrases.repeated(b"x a b c d e f b c", 9) == []
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in phrase_dedup.dedup(df, Tables(spark, "t"), 8, shard=16, chunk=64).collect()}
+    assert got == plain_words(docs, 8) and sum(x[1] for x in got.values()) > 1000
+
+
 def test_equal_rows_and_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, long), (1, long), (1, long + " more"), (2, long), (None, long), (3, None), (4, "")], "doc_id long, text string")
