@@ -6,7 +6,7 @@ Words are runs of bytes other than blank and 0x09 to 0x0D.
    passage is a context with windows that occur in several places, the least document of each window, and the phrase
    (``GRAM`` words) at its anchor.
 2. *Automata by shard.* Documents are dealt into shards of about ``SHARD`` runs, and a passage goes to the shards that hold a
-   run like it, so each shard gets no more than its own documents can hold. A shard's phrases are compiled into an
+   run like it, so each shard gets no more than its own documents can hold, and only if one of them comes after the first. A shard's phrases are compiled into an
    Aho-Corasick automaton (pyahocorasick), in several where its passages exceed ``CHUNK`` bytes.
 3. *All documents are streamed* through the automata of their shard, which locate the phrases; nothing else says where a
    passage may stand. Windows that hold a located phrase are looked up among the passages' windows and compared with them
@@ -188,7 +188,9 @@ def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_i
     known = passages(rows, kinds, crowd, units, tables, hot)
     shards = max(1, -(-runs.count() // shard), -(-docs.count() // (shard // 16)))
     home = F.pmod(F.xxhash64(*KEY), F.lit(shards)).cast("int").alias("shard")
-    wanted = runs.select("anchor", "kind", home).distinct().join(known, ["anchor", "kind"])
+    # a shard whose documents all come before those that hold a passage first can lose nothing to it
+    first = F.array_min(F.transform("windows", lambda w: w["least"]))
+    wanted = runs.groupBy("anchor", "kind", home).agg(F.max("rank").alias("top")).join(known, ["anchor", "kind"]).where(first < F.col("top"))
     kind = docs.schema[id_col].dataType.simpleString()
     nothing = lambda t: F.lit(None).cast(t)
     texts = numbered(docs, id_col, text_col, F.col(id_col).alias("own")).select(home, F.lit(0).alias("side"), "own", "rank", "text", nothing("int").alias("place"), nothing("array<struct<start:int,end:int,least:long,n:long>>").alias("windows"))
