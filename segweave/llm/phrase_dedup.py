@@ -40,7 +40,7 @@ CHUNK = 1 << 21
 
 
 def confirmed(contexts: list[Context], width: int) -> list[list[tuple[int, int, int, int]]]:
-    """Runs (start, end, least rank, count) of the windows of each context that occur more than once under its anchor."""
+    """Runs (start, end, least rank, 2) of the windows of each context that occur more than once under its anchor."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in contexts]
     groups: dict[int, list[int]] = defaultdict(list)
     for i, c in enumerate(contexts):
@@ -66,10 +66,10 @@ def confirmed(contexts: list[Context], width: int) -> list[list[tuple[int, int,
             for k, w in enumerate(windows[i]):
                 if times[w] < 2:
                     continue
-                if runs and runs[-1][1] == k and runs[-1][2:] == (least[w], times[w]):
+                if runs and runs[-1][1] == k and runs[-1][2] == least[w]:
                     runs[-1] = (runs[-1][0], k + 1, *runs[-1][2:])
                 else:
-                    runs.append((k, k + 1, least[w], times[w]))
+                    runs.append((k, k + 1, least[w], 2))
     return out
 
 
@@ -93,19 +93,20 @@ class Words:
 class Phrases:
     """The passages of a shard: an automaton that locates their phrases, and their windows by hash."""
 
-    def __init__(self, passages: list[tuple[bytes, int, list[tuple[int, int, int]]]], units: Units) -> None:
+    def __init__(self, passages: list[tuple[bytes, int, np.ndarray, np.ndarray, np.ndarray]], units: Units) -> None:
+        """Of each passage: its words, the place of the phrase, and starts, ends and least ranks of its runs of windows."""
         self.units, self.automaton = units, ahocorasick.Automaton()
-        self.words = Words(b" ".join(content for content, _, _ in passages))
-        at, least, base = [], [], 0
-        for content, place, runs in passages:
-            phrase = self.words.cut(base + place, base + place + units.gram).decode("utf-8", "surrogatepass")
+        self.words = Words(b" ".join(p[0] for p in passages))
+        base = np.concatenate([[0], np.cumsum([units.size(p[0]) for p in passages])])
+        for at, (_, place, *_) in zip(base.tolist(), passages):
+            phrase = self.words.cut(at + place, at + place + units.gram).decode("utf-8", "surrogatepass")
             self.automaton.add_word(f" {phrase} ", True)
-            for start, end, lowest in runs:
-                at.append(np.arange(base + start, base + end))
-                least.append(np.full(end - start, lowest, np.int64))
-            base += units.size(content)
         self.automaton.make_automaton()
-        self.at, self.least = np.concatenate(at), np.concatenate(least)
+        first, end, lowest = (np.concatenate([p[k] for p in passages]) for k in (2, 3, 4))
+        sizes = end - first
+        begin = first + np.repeat(base[:-1], [len(p[2]) for p in passages])
+        self.at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.least = np.repeat(lowest, sizes)
         hashes = np.empty(len(self.at), np.uint64)
         rising = np.argsort(self.at, kind="stable")
         hashes[rising] = self.words.hashes(self.at[rising], units.width)
@@ -222,7 +223,10 @@ def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_i
         now, held, waiting, size = None, [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for home, side, own, rank, text, place, windows in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                part = batch.slice(at, 256)
+                windows = part.column(6)
+                borders, values = windows.offsets.to_numpy(), [np.asarray(windows.values.field(f)).astype(np.int64) for f in ("start", "end", "least")]
+                for row, (home, side, own, rank, text, place) in enumerate(zip(*(c.to_pylist() for c in part.columns[:6]))):
                     if home != now:
                         search(held, waiting)
                         for k in range(0, len(held), 256):
@@ -232,7 +236,7 @@ def dedup(docs: DataFrame, tables: Tables, width: int = 50, id_col: str = "doc_i
                     if side == 0:
                         held.append([own, rank, raw, []])
                         continue
-                    waiting.append((raw, place, [(w["start"], w["end"], w["least"]) for w in windows]))
+                    waiting.append((raw, place, *(v[borders[row] : borders[row + 1]] for v in values)))
                     size += len(raw)
                     if size >= chunk:
                         search(held, waiting)

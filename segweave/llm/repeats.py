@@ -250,9 +250,9 @@ def by_pieces(busy: DataFrame, units: Units, kernel: Kernel, tables: Tables, hot
     name = ["slice", "at", "piece"]
     distinct = each.groupBy(*name).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     if step == 1:  # a piece is a window
-        # the kernel of bytes tells neither who is first nor how often: only what is told alike can be joined
-        told = ["least", "n"] if units.words else [F.lit(0).cast("long").alias("least"), F.lit(2).cast("long").alias("n")]
-        one = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), *told))
+        # as the kernels tell it: how often does not matter, and of bytes not who is first
+        told = F.col("least") if units.words else F.lit(0).cast("long")
+        one = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), told.alias("least"), F.lit(2).cast("long").alias("n")))
         answers = distinct.where("n > 1").select(*name, one.alias("windows"))
     else:
         distinct = tables.save(distinct.select(*name, "n", "least", F.monotonically_increasing_id().alias("id")))

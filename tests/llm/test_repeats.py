@@ -81,7 +81,7 @@ def test_automata_decide(spark, monkeypatch):
     """Whatever the automata do not locate stays."""
     said = texts(5, 40)
     docs = [(i, t) for i, t in enumerate([*said, *said])]
-    phrases = phrase_dedup.Phrases([(b"a b c d e f", 1, [(0, 2, 3)])], Units(True, 5, 2))
+    phrases = phrase_dedup.Phrases([(b"a b c d e f", 1, *(np.array([x]) for x in (0, 2, 3)))], Units(True, 5, 2))
     assert phrases.located(b"x a b c d e f b c").tolist() == [2, 7]
     assert phrases.repeated(b"x a b c d e f b c", 9) == [(1, 3)] and phrases.repeated(b"x a b c d e f b c", 3) == []
     monkeypatch.setattr(phrases, "located", lambda text: np.empty(0, np.int64))
