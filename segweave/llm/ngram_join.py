@@ -8,9 +8,12 @@ Words are runs of bytes other than blank and 0x09 to 0x0D in the lower-cased tex
 2. Documents with equal gram sets are one class; copies are collapsed before anything else is shuffled.
 3. Classes meet on band hashes. A bucket gives each member one edge to its least member, never its pairs; the components of
    these edges hold every candidate pair, and a class with no partner in any band drops out here.
-4. Only for the others the full gram sets are made, once each, and sent to their component. A component of more than
-   ``block`` classes is dealt as tiles of two blocks each over the tasks. All pairs of a tile are verified on the full sets,
-   which also links pairs that no band has brought together. A tile sends back counts and a spanning forest.
+4. Only for the others the full gram sets are made, once each, and sent to their *groups*. Usually a group is a component:
+   verifying all its pairs meets each pair once, where its buckets meet similar pairs in nearly every band. But a chain of
+   different documents can be a component with far more pairs than its buckets have; a component of more than ``block``
+   classes whose buckets have fewer pairs is therefore verified bucket by bucket, and a pair counts in the first band
+   that it shares. Groups of more than ``block`` classes are dealt as tiles of two blocks each over the tasks. All pairs of
+   a tile are verified on the full sets. A tile sends back counts and a spanning forest.
 5. Components of the verified links are the groups; their least document stays.
 
 Defined cases: null, empty and wordless texts have no grams, link with nothing and stay. Rows equal in id and text are one
@@ -33,7 +36,7 @@ from .embed_dedup import forest
 from .repeats import KEY, bytes_of, numbered
 from .textnum import GRAM_CODES, U, gram_hashes, mix, word_hashes, word_spans
 
-BLOCK = 1024
+BLOCK = 512
 
 
 def grams(text: str | None, n: int) -> np.ndarray:
@@ -113,6 +116,25 @@ def verified(left: list[np.ndarray], right: list[np.ndarray] | None, threshold:
     return np.nonzero(np.triu(hit, 1) if right is None else hit)
 
 
+def groups_of(near: DataFrame, classes: DataFrame, tables: Tables, block: int) -> DataFrame:
+    """(node, groups): the groups that a class is sent to, as (group, band, blocks); band -1 is a whole component."""
+    sizes = near.groupBy("component").agg(F.count("*").alias("m"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int").alias("blocks")
+    large = tables.save(sizes.where(F.col("m") > block))
+    if large.isEmpty():
+        one = F.struct(F.col("component").alias("group"), F.lit(-1).alias("band"), blocks("m"))
+        return near.join(sizes, "component").select("node", F.array(one).alias("groups"))
+    held = near.join(large, "component").join(classes.select("node", "bands"), "node").select("component", "node", F.posexplode("bands").alias("band", "hash"))
+    held = tables.save(held)
+    buckets = tables.save(held.groupBy("component", "band", "hash").agg(F.count("*").alias("s")).where("s > 1"))
+    cheap = buckets.groupBy("component").agg(F.sum(F.col("s").cast("double") * F.col("s")).alias("pairs")).join(large, "component").where(F.col("pairs") < F.col("m").cast("double") * F.col("m")).select("component")
+    cheap = tables.save(cheap)
+    # tables on both sides, so that Spark can split a component or bucket that holds much of all
+    whole = near.join(tables.save(sizes), "component").join(cheap, "component", "left_anti").select("node", F.col("component").alias("group"), F.lit(-1).alias("band"), blocks("m"))
+    apart = held.join(tables.save(buckets.join(cheap, "component", "left_semi")), ["component", "band", "hash"]).select("node", F.col("hash").alias("group"), "band", blocks("s"))
+    return whole.unionByName(apart).groupBy("node").agg(F.collect_list(F.struct("group", "band", "blocks")).alias("groups"))  # at most one a band
+
+
 def join(docs: DataFrame, tables: Tables, threshold: float = 0.8, n: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(rank, row, id, n_links, component_id, kept) of every row; rank and row are those of ``numbered``."""
     bands, per_band = plan_bands(threshold, recall)
@@ -122,27 +144,35 @@ def join(docs: DataFrame, tables: Tables, threshold: float = 0.8, n: int = 5, re
     each = classes.select("node", F.explode("bands").alias("band"))
     buckets = each.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1")
     edges = each.join(buckets, "band").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    near = connected_components(edges, tables)  # (node, component)
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    some = near.join(sizes, "component").join(classes.select("node", "n", "head.rank", "head.row"), "node")
+    near = tables.save(connected_components(edges, tables))  # (node, component)
+    some = groups_of(near, classes, tables, block).join(classes.select("node", "n", "bands", "head.rank", "head.row"), "node")
 
     def sets(batch):
         made = [grams(t, n).astype("<u8").tobytes() for t in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(made, pa.binary())], ["component", "blocks", "node", "n", "grams"])
+        signs = [np.asarray(b.values, np.int64).tobytes() for b in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(signs, pa.binary()), pa.array(made, pa.binary())], ["groups", "node", "n", "bands", "grams"])
 
     # equal rows would bring a class's text twice: the tile keeps one of each node
-    full = map_rows(rows.select(*KEY, "text").join(some, KEY).select("component", "blocks", "node", "n", "text"), sets, "component long, blocks int, node long, n long, grams binary", 256)
-    dealt = full.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("tile", F.explode(tiles_of(F.col("b"), F.col("blocks")))).drop("blocks")
-    dealt = dealt.repartition("component", "tile").sortWithinPartitions("component", "tile", "b", "node").select("component", "tile.x", "tile.y", "b", "node", "n", "grams")
-
-    def answer(x, own):
-        left = [r for r in own if r[3] == x]
-        right = [r for r in own if r[3] != x]
-        sets_of = lambda part: [np.frombuffer(r[6], "<u8") for r in part]
+    full = map_rows(rows.select(*KEY, "text").join(some, KEY).select("groups", "node", "n", "bands", "text"), sets, "groups array<struct<group:long,band:int,blocks:int>>, node long, n long, bands binary, grams binary", 256)
+    placed = full.select(F.inline("groups"), "node", "n", "bands", "grams").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    signs = F.when(F.col("band") >= 0, F.col("bands"))  # whole components need none
+    dealt = placed.withColumn("tile", F.explode(tiles_of(F.col("b"), F.col("blocks")))).select("group", "band", "tile.x", "tile.y", "b", "node", "n", "grams", signs.alias("bands"))
+    dealt = dealt.repartition("group", "band", "x", "y").sortWithinPartitions("group", "band", "x", "y", "b", "node")
+
+    def answer(tile, own):
+        _, band, x, _ = tile
+        left = [r for r in own if r[4] == x]
+        right = [r for r in own if r[4] != x]
+        sets_of = lambda part: [np.frombuffer(r[7], "<u8") for r in part]
         i, j = verified(sets_of(left), sets_of(right) or None, threshold)
         other = right or left
-        u, v = np.array([r[4] for r in left], np.int64)[i], np.array([r[4] for r in other], np.int64)[j]
-        nu, nv = np.array([r[5] for r in left], np.int64)[i], np.array([r[5] for r in other], np.int64)[j]
+        if band >= 0 and len(i):  # the pair counts where its first shared band is
+            signs = lambda part: np.stack([np.frombuffer(r[8], "<i8") for r in part])
+            a, b = signs(left), signs(other)
+            first = np.concatenate([np.argmax(a[i[k : k + 4096]] == b[j[k : k + 4096]], axis=1) for k in range(0, len(i), 4096)])
+            i, j = i[first == band], j[first == band]
+        u, v = np.array([r[5] for r in left], np.int64)[i], np.array([r[5] for r in other], np.int64)[j]
+        nu, nv = np.array([r[6] for r in left], np.int64)[i], np.array([r[6] for r in other], np.int64)[j]
         nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
         total = np.zeros(len(nodes), np.int64)
         np.add.at(total, where, np.concatenate([nv, nu]))
@@ -153,25 +183,27 @@ def join(docs: DataFrame, tables: Tables, threshold: float = 0.8, n: int = 5, re
         held, tile, out = [], None, []
         pack = lambda out: pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["node", "n", "root"])
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != tile:
-                    if tile and (tile[1] == tile[2] or any(r[3] != held[0][3] for r in held)):
-                        out.append(answer(tile[1], held))
-                    if len(out) >= 500:
-                        yield pack(out)
-                        out = []
-                    held, tile = [], row[:3]
-                if not held or held[-1][4] != row[4]:
-                    held.append(row)
-        if tile and (tile[1] == tile[2] or any(r[3] != held[0][3] for r in held)):
-            out.append(answer(tile[1], held))
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if row[:4] != tile:
+                        if tile and (tile[2] == tile[3] or any(r[4] != held[0][4] for r in held)):
+                            out.append(answer(tile, held))
+                        if len(out) >= 500:
+                            yield pack(out)
+                            out = []
+                        held, tile = [], row[:4]
+                    if not held or held[-1][5] != row[5]:
+                        held.append(row)
+        if tile and (tile[2] == tile[3] or any(r[4] != held[0][4] for r in held)):
+            out.append(answer(tile, held))
         if out:
             yield pack(out)
 
     links = tables.save(dealt.mapInArrow(run, "node long, n long, root long"))
     groups = connected_components(links.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")), tables)
     placed = classes.select("node", "head", (F.col("n") - 1).alias("copies")).join(links.groupBy("node").agg(F.sum("n").alias("others")), "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    stays = placed.groupBy("component").agg(F.min("head").alias("stay"))
+    placed = tables.save(placed)
+    stays = tables.save(placed.groupBy("component").agg(F.min("head").alias("stay")))
     answers = placed.join(stays, "component").select("node", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links"), "stay")
     done = signed.drop("bands").join(answers, "node", "left")
     own = F.struct(*KEY)

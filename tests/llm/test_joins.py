@@ -16,7 +16,7 @@ def grams(text, n=5):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
-@pytest.mark.parametrize("block", [1024, 2])
+@pytest.mark.parametrize("block", [512, 4, 2])
 def test_jaccard(spark, block):
     values = texts(4, 90)
     df = table(spark, values)
@@ -39,12 +39,40 @@ def test_jaccard_edges(spark):
     assert ngram_join.join(df.limit(0), Tables(spark, "t")).count() == 0
 
 
+def chain(n=60):
+    """Each text shares most of its words with the next, so that all are one component and few are links."""
+    words = [f"w{i}" for i in range(60 + 12 * n)]
+    return [" ".join(words[12 * i : 12 * i + 60]) for i in range(n)] + [" ".join([*words[12 * i : 12 * i + 60], f"more{k}"]) for i in range(0, n, 7) for k in range(3)]
+
+
+def test_long_chains(spark):
+    """Components whose buckets have fewer pairs are verified bucket by bucket, with the same links."""
+    values = chain()
+    df = table(spark, values)
+    sets = {r["doc_id"]: grams(r["text"]) for r in df.collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for block in (512, 8, 3):
+        got = {r["doc_id"]: r["n_links"] for r in ngram_join.join(df, Tables(spark, "t"), block=block).collect()}
+        assert got == {i: sum(i in p for p in links) for i in sets} and len(links) > 20
+
+
+def test_groups(spark):
+    near = spark.createDataFrame([(i, 1) for i in range(1, 9)] + [(i, 20) for i in range(20, 23)] + [(i, 30) for i in range(30, 36)], "node long, component long")
+    same = lambda i: [[100, 200], [5, 6]][i < 30]
+    bands = {i: [1000 + i // 2, 2000 + (i + 1) // 2] for i in range(1, 9)} | {i: [7, 8] for i in range(20, 23)} | {i: same(i) for i in range(30, 36)}
+    classes = spark.createDataFrame(list(bands.items()), "node long, bands array<long>")
+    got = {r["node"]: sorted(tuple(g) for g in r["groups"]) for r in ngram_join.groups_of(near, classes, Tables(spark, "t"), 4).collect()}
+    assert got[2] == [(1001, 0, 1), (2001, 1, 1)]  # a chain: by buckets
+    assert got[30] == [(30, -1, 2)]  # all alike: as a component
+    assert got[20] == [(20, -1, 1)]  # small
+
+
 def test_bands():
     bands, rows = ngram_join.plan_bands(0.8, 0.999, 24)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands <= 24 and rows >= 5
 
 
-@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("block", [None, 16])
 def test_embeddings(spark, block):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 24))
@@ -70,6 +98,33 @@ def test_embedding_copies(spark):
     assert got == [(3, 3, 3), (3, 3, 3), (5, 3, 3), (7, 0, 7), (9, 3, 3)]
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows, links = [], []
+    for dim in (2, 3, 7):
+        base = rng.normal(size=(30, dim))
+        vectors = np.concatenate([base, base[:9] * 2 + rng.normal(size=(9, dim)) * 0.01, base[:4]])
+        unit, at = vectors / np.linalg.norm(vectors, axis=1)[:, None], len(rows)
+        hit = unit @ unit.T >= 0.95
+        links += [(at + a, at + b) for a in range(len(vectors)) for b in range(a + 1, len(vectors)) if hit[a, b]]
+        rows += [(at + i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (900, rows[0][1][:1])], "vec_id long, embedding array<double>")
+    group = components(range(len(rows)), links)
+    for block in (None, 5):
+        got = embed_dedup.link(df, Tables(spark, "t"), block=block).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] not in (None, 900)} == {i: (sum(i in p for p in links), group[i]) for i, _ in rows}
+        assert sorted((r["n_links"], r["kept"]) for r in got if r["vec_id"] in (None, 900)) == [(0, True), (0, True)]
+
+
+def test_strips_keep_what_is_connected():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        i, j = rng.integers(5, 25, 18), rng.integers(100, 140, 18)
+        columns, heads, rows, others = embed_dedup.fewer(i, j)
+        nodes = set(i.tolist()) | set(j.tolist())
+        assert components(nodes, zip(i.tolist(), j.tolist())) == components(nodes, [*zip(columns.tolist(), heads.tolist()), *zip(rows.tolist(), others.tolist())])
+
+
 def test_error_bounds():
     rng = np.random.default_rng(0)
     x = embed_dedup.unit(rng.normal(size=(200, 48)) ** 3)
