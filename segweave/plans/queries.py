@@ -15,8 +15,8 @@ from ..operators import build, context, graph, memory, stats, sync, telemetry, t
 from ..schema import STATUSES, TRANSITIONS, authoring_allowed, resolve_status, transition_allowed
 from ..sources.segments import exported, last_wins, with_positions
 from ..streaming import changelog
-from . import fixtures, views
-from .views import LINES_SQL, MASKED_SQL, RECORDS_SQL, SEGMENTS_SQL, table
+from . import views
+from .views import LINES_SQL, MASKED_SQL, RECORDS_SQL, SEGMENTS_SQL, TEX_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,12 +392,14 @@ def identity_alignment(spark, d):
 
 @query()
 def identity_similarity(spark, d):
-    """Benchmark items against documents of about their length, by bounds that no ratio exceeds. Null texts match nothing."""
-    size = F.floor(F.log(F.greatest(F.char_length("text"), F.lit(1))) / F.log(F.lit(1.5))).cast("int")
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.explode(F.array(*(size + i for i in (-1, 0, 1)))).alias("size")).where("a is not null")
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("b"), size.alias("size")).where("b is not null")
-    near = items.join(docs, "size").where(upper_bound(F.col("a"), F.col("b")) >= 0.8)
-    return near.withColumn("ratio", close_ratio("a", "b", 0.8)).where("ratio is not null").select("item_id", "doc_id", "ratio")
+    """Stored lines against new lines of the same document, where neither's id is known to the other side: pairs with a ratio
+    of 0.85. Lengths meet in buckets: a ratio of 0.85 needs lengths that differ by less than a factor of 1.36."""
+    size = lambda c: F.floor(F.log(F.greatest(F.char_length(c), F.lit(1))) / F.log(F.lit(1.36))).cast("int")
+    old, new = views.stored_lines(spark, d), views.edited_lines(spark, d)
+    lost = old.join(new.select("namespace", "id"), ["namespace", "id"], "left_anti").select("namespace", F.col("id").alias("old_id"), F.col("source_text").alias("a"), size("source_text").alias("size"))
+    fresh = new.join(old.select("namespace", "id"), ["namespace", "id"], "left_anti").select("namespace", F.col("id").alias("new_id"), F.col("masked_text").alias("b"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: size("masked_text") + i)).alias("size"))
+    near = lost.join(fresh, ["namespace", "size"]).where(upper_bound(F.col("a"), F.col("b")) >= 0.85)
+    return near.withColumn("ratio", close_ratio("a", "b", 0.85)).where("ratio is not null").select("namespace", "old_id", "new_id", "ratio")
 
 
 # ---------------------------------------------------------------- placeholders and validation
@@ -465,10 +467,11 @@ def critique_merge(spark, d):
     return rows.withColumn("m", m).select("parse_ok", "accurate", "requires", "m.requires_refine", "m.degraded", "m.accuracy_forced", "m.bypass", "m.retry_reason")
 
 
-@query()
+@query("SELECT doc_id, (['true', 'false', 'true', 'false', 'true', 'none'])[CAST(doc_id % 6 + 1 AS INT)] AS requires_refine, ([2, 0, 1, 0, 0, -1])[CAST(doc_id % 6 + 1 AS INT)] AS n_issues, doc_id % 6 = 2 AS repaired FROM documents")
 def critique_parse(spark, d):
-    rows = fixtures.critiques(spark)
-    return rows.withColumn("c", critique.parse_critique("text")).select("name", "c.requires_refine", F.size("c.issues").alias("n_issues"), "c.repaired")
+    rows = views.critiques(spark, d).withColumn("c", critique.parse_critique("critique"))
+    issues = F.when(F.col("c.issues").isNull(), -1).otherwise(F.size("c.issues"))
+    return rows.select("doc_id", F.coalesce(F.col("c.requires_refine").cast("string"), F.lit("none")).alias("requires_refine"), issues.alias("n_issues"), F.coalesce("c.repaired", F.lit(False)).alias("repaired"))
 
 
 # ---------------------------------------------------------------- context and budgets
@@ -598,43 +601,82 @@ def namespace_collisions(spark, d):
 # ---------------------------------------------------------------- documents in LaTeX
 
 
+def _tex(spark, d):
+    return views.tex_files(spark, d).select(F.col("path").alias("namespace"), "content")
+
+
 @query()
 def latex_segment(spark, d):
-    return latex.segmented(fixtures.documents(spark)).select("namespace", "seq", "start", "end", "id", "masked_text", F.to_json("placeholders").alias("placeholders"), "translatable")
+    return latex.segmented(_tex(spark, d)).select("namespace", "seq", "start", "end", "id", "masked_text", F.to_json("placeholders").alias("placeholders"), "translatable")
 
 
-@query()
+@query("SELECT path AS namespace, true AS lossless, -1 AS first_difference FROM tex", TEX_SQL)
 def latex_lossless(spark, d):
-    files = fixtures.documents(spark)
-    return build.lossless(latex.segmented(files), files)
+    files = _tex(spark, d)
+    return build.lossless(latex.segmented(files), files).withColumn("first_difference", F.coalesce("first_difference", F.lit(-1)))
 
 
-@query()
+@query("SELECT path AS namespace, true AS same, 0 AS n_errors FROM tex", TEX_SQL)
 def latex_round_trip(spark, d):
-    rows = latex.segmented(fixtures.documents(spark)).withColumn("r", ph.restore(F.col("masked_text"), F.col("placeholders")))
-    return rows.select("namespace", "seq", (F.col("r.text") == F.col("raw_text")).alias("same"), "r.error")
+    rows = latex.segmented(_tex(spark, d)).withColumn("r", ph.restore(F.col("masked_text"), F.col("placeholders")))
+    return rows.groupBy("namespace").agg(F.bool_and(F.col("r.text") == F.col("raw_text")).alias("same"), F.count("r.error").alias("n_errors"))
 
 
-@query()
+_USED = r"""used AS (SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '\\([a-zA-Z]+)', 1)) AS name FROM tex WHERE path LIKE '%.tex') WHERE name NOT IN ('begin', 'end') GROUP BY 1)"""
+_DEFINED = r"""defined AS (SELECT name, CAST(least(max(args), 2) AS INT) AS args FROM (
+  SELECT unnest(regexp_extract_all(content, '\\(?:newcommand|renewcommand|providecommand)\*?\{?\\([a-zA-Z]+)\}?(?:\[(\d+)\])', 1)) AS name, CAST(unnest(regexp_extract_all(content, '\\(?:newcommand|renewcommand|providecommand)\*?\{?\\([a-zA-Z]+)\}?(?:\[(\d+)\])', 2)) AS INT) AS args FROM tex
+  UNION ALL SELECT unnest(regexp_extract_all(content, '\\def\\([a-zA-Z@]+)((?:#\d)+)', 1)), CAST(length(unnest(regexp_extract_all(content, '\\def\\([a-zA-Z@]+)((?:#\d)+)', 2))) // 2 AS INT) FROM tex) GROUP BY 1)"""
+_KNOWN = "known AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in sorted(latex.ARGUMENTS)) + "]) AS name)"
+_UNSAFE = ", ".join(f"'{m}'" for m in graph.UNSAFE)
+
+
+@query("SELECT name, n FROM used", TEX_SQL, _USED)
 def macro_usage(spark, d):
-    return graph.usage(fixtures.documents(spark))
+    return graph.usage(views.tex_files(spark, d)).select("name", "n")
 
 
-@query()
+@query(r"SELECT kind, name, count(*) AS n FROM (SELECT 'environment' AS kind, unnest(regexp_extract_all(content, '\\begin\{([a-zA-Z*]+)\}', 1)) AS name FROM tex WHERE path LIKE '%.tex') GROUP BY 1, 2", TEX_SQL)
+def environment_usage(spark, d):
+    return graph.analysis(views.tex_files(spark, d)).where("kind in ('environment', 'verbatim')").select("kind", "name", "n")
+
+
+@query("SELECT name, args FROM defined", TEX_SQL, _DEFINED)
 def macro_definitions(spark, d):
-    return graph.definitions(fixtures.documents(spark))
+    return graph.definitions(views.tex_files(spark, d))
 
 
-@query()
+@query(f"SELECT used.name, CAST(greatest(coalesce(defined.args, 0), CASE WHEN used.name = 'strange' THEN 2 WHEN used.name IN ('odd', 'subfix') OR used.name LIKE 'eq_' THEN 1 ELSE 0 END) AS INT) AS args FROM used LEFT JOIN defined USING (name) WHERE used.name NOT IN (SELECT name FROM known) AND used.name NOT IN ({_UNSAFE}) AND length(used.name) > 1", TEX_SQL, _USED, _DEFINED, _KNOWN)
 def unknown_macros(spark, d):
-    files = fixtures.documents(spark)
+    files = views.tex_files(spark, d)
     known = spark.range(1).select(F.explode(F.array(*(F.lit(m) for m in latex.ARGUMENTS if m))).alias("name"))
-    return graph.unknown(graph.usage(files), known, graph.definitions(files).select("name"))
+    return graph.unknown(graph.usage(files), known, known.limit(0), graph.definitions(files))
 
 
-@query()
+@query(r"SELECT DISTINCT name, 'begin' AS type, 'equation' AS env FROM (SELECT unnest(regexp_extract_all(content, '\\newcommand\\([a-zA-Z]+)\{\\begin\{equation\}\}', 1)) AS name FROM tex)", TEX_SQL)
+def environment_aliases(spark, d):
+    return graph.aliases(views.tex_files(spark, d))
+
+
+_EDGES = r"""wish AS (
+  SELECT path, unnest(regexp_extract_all(content, '\\(?:input|include|subfile|subfix)\s*\{([^}]+)\}|\\input\s+([^\s%]+)', 1)) AS a, unnest(regexp_extract_all(content, '\\(?:input|include|subfile|subfix)\s*\{([^}]+)\}|\\input\s+([^\s%]+)', 2)) AS b, '' AS p FROM tex
+  UNION ALL SELECT path, NULL, NULL, trim(unnest(string_split(x, ','))) FROM (SELECT path, unnest(regexp_extract_all(content, '\\usepackage\{([^}]+)\}', 1)) AS x FROM tex)),
+wished AS (SELECT DISTINCT path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS folder, CASE WHEN a <> '' THEN a ELSE b END AS name, p FROM wish),
+place AS (SELECT path, name, p, unnest([0, 2, 4, 6]) AS rk, unnest([folder || name, name, CASE WHEN name LIKE 'latex.out/%' THEN substr(name, 11) END, regexp_extract(name, '([^/]*)$', 1)]) AS target FROM wished WHERE name IS NOT NULL
+  UNION ALL SELECT path, name, p, 0, p || '.sty' FROM wished WHERE p <> ''),
+way AS (SELECT * FROM place UNION ALL SELECT path, name, p, rk + 1, target || '.tex' FROM place WHERE target NOT LIKE '%.tex' AND p = ''),
+found AS (SELECT way.path, name, p, min(rk) AS rk, arg_min(target, rk) AS target FROM way JOIN (SELECT DISTINCT path FROM tex) t ON t.path = way.target GROUP BY ALL),
+edge AS (SELECT path, target, bool_and(p = '' AND rk >= 6) AS fallback FROM found GROUP BY 1, 2)"""
+
+
+@query("SELECT path, target, fallback FROM edge", TEX_SQL, _EDGES)
 def document_edges(spark, d):
-    return graph.edges(fixtures.documents(spark).select(F.col("namespace").alias("path"), "content"))
+    return graph.edges(views.tex_files(spark, d))
+
+
+@query("SELECT DISTINCT path FROM reach", "RECURSIVE " + TEX_SQL, _EDGES, "reach(path) AS (SELECT path FROM tex WHERE path LIKE '%.tex' AND contains(content, chr(92) || 'documentclass') UNION SELECT target FROM reach JOIN edge USING (path))")
+def document_closure(spark, d):
+    files = views.tex_files(spark, d)
+    return graph.closure(graph.roots(files), graph.edges(files))
 
 
 @query("SELECT path, replace(regexp_replace(path, '\\.[^./]+$', ''), '/', '__') AS namespace FROM (SELECT regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS path FROM pages)")

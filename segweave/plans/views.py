@@ -143,3 +143,37 @@ msrc AS (SELECT page_id, line, html, (SELECT string_agg(CASE WHEN i = 1 THEN p[i
 mask AS (SELECT page_id, line, source, CASE length(html) % 5 WHEN 0 THEN regexp_replace(source, '<macro id="1"/>', '', 'g') WHEN 1 THEN source || '<macro id="1"/>' WHEN 2 THEN source || ' $x^2_1$ {' ELSE source END AS draft FROM msrc)
 """
 
+
+
+#: A LaTeX project around the whole text of every document, and critiques around it, in expressions that both engines read.
+TEX_PATH = """CASE WHEN doc_id % 50 = 0 THEN 'top' || CAST(doc_id AS STRING) || '.tex' WHEN doc_id % 50 = 7 THEN 'pack' || CAST(doc_id AS STRING) || '.sty'
+WHEN doc_id % 11 = 5 THEN 'd' || CAST(doc_id % 20 AS STRING) || '/v' || CAST(doc_id AS STRING) || '.intro.tex' ELSE 'd' || CAST(doc_id % 20 AS STRING) || '/p' || CAST(doc_id AS STRING) || '.tex' END"""
+TEX_CONTENT = """concat(
+CASE WHEN doc_id % 50 = 0 THEN '!documentclass[11pt]{article}' || chr(10) || '!usepackage{other, pack' || CAST(doc_id + 7 AS STRING) || '}' || chr(10) ELSE '' END,
+'!providecommand{!own', chr(CAST(97 + doc_id % 5 AS INT)), '}[', CAST(doc_id % 4 AS STRING), ']{!emph{#1}}', chr(10),
+CASE WHEN doc_id % 3 = 0 THEN '!def!pairs#1#2{(#1, #2)}' || chr(10) || '!newcommand!eq' || chr(CAST(97 + doc_id % 7 AS INT)) || '{!begin{equation}}' || chr(10) ELSE '' END,
+'!section{Part ', CAST(doc_id AS STRING), '}', chr(10), replace(replace(replace(coalesce(text, ''), '!', '.'), '{', '('), '}', ')'), chr(10),
+'!begin{itemize}', chr(10), '!item One !strange [x] {a}{b}{c} and !odd{a}.', chr(10), '!end{itemize}', chr(10),
+'!input{p', CAST(doc_id + 20 AS STRING), '}', chr(10), '!include{d', CAST((doc_id + 1) % 20 AS STRING), '/p', CAST(doc_id + 1 AS STRING), '.tex}', chr(10),
+'!input v', CAST(doc_id + 20 AS STRING), '.intro', chr(10), '!subfile{latex.out/top', CAST(doc_id - doc_id % 50 AS STRING), '}', chr(10), '!subfix{gone/top', CAST(doc_id - doc_id % 50 + 50 AS STRING), '.tex}', chr(10))""".replace("!", "' || chr(92) || '")
+TEX_CONTENT = TEX_CONTENT.replace("coalesce(text, ''), '' || chr(92) || '', '.')", "coalesce(text, ''), chr(92), '/')")
+CRITIQUE = """CASE doc_id % 6
+WHEN 0 THEN chr(10) || '```json' || chr(10) || '{"requires_refine": true, "issues": [{"category": "fluency", "description": "stiff"}, {"description": "' || CAST(doc_id AS STRING) || '"}]}' || chr(10) || '```'
+WHEN 1 THEN ' First {"a": {"b": 1}} then {"requires_refine": false, "issues": []} and {"a": 2}'
+WHEN 2 THEN ' {"requires_refine": true, "issues": [{"category": "accuracy", "description": "lost <macro   id="1" />"}]}'
+WHEN 3 THEN ' ```{"requires_refine": false}``` ```json {"requires_refine": "yes"} ```'
+WHEN 4 THEN ' {"requires_refine": true, "issues": [{"category": "nope", "description": "x"}]} Done.'
+ELSE ' Looks fine.' END"""
+
+
+def tex_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content): a LaTeX project with a file around the whole text of every document."""
+    return table(spark, folder, "documents").selectExpr(f"{TEX_PATH} AS path", f"{TEX_CONTENT} AS content")
+
+
+def critiques(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, critique): a critique of some form after the whole text of every document."""
+    return table(spark, folder, "documents").selectExpr("doc_id", f"concat(translate(coalesce(text, ''), '{{}}', '()'), {CRITIQUE}) AS critique")
+
+
+TEX_SQL = f"tex AS (SELECT {TEX_PATH} AS path, {TEX_CONTENT} AS content FROM documents)"

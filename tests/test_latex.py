@@ -4,8 +4,9 @@ import random
 
 import pytest
 
+from segweave.functions.analysis import counted
 from segweave.functions.latex import Config, blocks_of
-from segweave.plans.fixtures import DOCUMENTS
+from .texts import DOCUMENTS
 
 PARTS = ["\\", "{", "}", "$", "%", "\n", "\n\n", " ", "a", "bc", "\\begin{x}", "\\end{x}", "\\item", "\\textbf{", "\\verb|", "|", "[", "]", "\\section{", "\\[", "\\]", "\\begin{equation}", "\\end{equation}"]
 
@@ -50,3 +51,12 @@ def test_stated_cases():
     assert masks(r"a \be x \ee b", aliases={"be": ("begin", "equation"), "ee": ("end", "equation")}) == ['a <env id="1"/> b']
     with pytest.raises(ValueError):
         masks("x" * 50, most_chars=10)
+
+
+def test_counted():
+    text = r"""\foo{a}{b}{c} \bar [x] {y} z \foo % \no{a}
+\begin{equation*}\sum_{i}\end{equation*}\verb|\no{x}| \begin{lstlisting}\no\end{lstlisting}\baz{\foo{a}} \% \open{never"""
+    found = list(counted(text))
+    assert [(n, a) for k, n, a in found if k == "macro"] == [("foo", 2), ("bar", 1), ("foo", 0), ("sum", 0), ("verb", 0), ("baz", 1), ("foo", 1), ("%", 0), ("open", 0)]
+    assert [n for k, n, _ in found if k == "environment"] == ["equation*", "lstlisting"] and [n for k, n, _ in found if k == "verbatim"] == ["verb"]
+    assert list(counted("")) == [] and len(list(counted("\\x{" * 20_000))) == 20_000

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segweave.functions.similarity import ratio
+from segweave.plans import views
 from segweave.operators import build, context, graph, memory, sync, telemetry
 from segweave.plans.queries import QUERIES
 from segweave.schema import INFERENCE, SEGMENTS
@@ -147,23 +148,59 @@ def test_build(spark):
     assert build.skips(rows).first()["n_skipped"] == 2
 
 
+def linked(spark, files):
+    return {(r["path"], r["target"], r["fallback"]) for r in graph.edges(spark.createDataFrame(list(files.items()), "path string, content string")).collect()}
+
+
 def test_graph(spark):
-    files = spark.createDataFrame([("main.tex", "\\documentclass{a}\\usepackage{mypkg}\\input{chapter1}"), ("chapter1.tex", "\\input{main} % \\input{no}"), ("mypkg.sty", ""), ("no.tex", ""), ("a/b.tex", ""), ("a__b.tex", "")], "path string, content string")
+    files = spark.createDataFrame([("main.tex", "\\documentclass{a}\\usepackage{mypkg}\\input{chapter1}"), ("chapter1.tex", "\\input{main} % \\input{yes}"), ("mypkg.sty", ""), ("yes.tex", ""), ("no.tex", ""), ("a/b.tex", ""), ("a__b.tex", "")], "path string, content string")
     links = graph.edges(files)
     reached = graph.closure(files.where("path = 'main.tex'").select("path"), links)
-    assert [r["path"] for r in reached.collect()] == ["chapter1.tex", "main.tex", "mypkg.sty"]
+    assert [r["path"] for r in reached.collect()] == ["chapter1.tex", "main.tex", "mypkg.sty", "yes.tex"]
     assert graph.collisions(files).first()["paths"] == ["a/b.tex", "a__b.tex"]
     assert [r["path"] for r in graph.roots(files).collect()] == ["main.tex"]
 
 
+def test_edges(spark):
+    files = {
+        "a/one.tex": "\\input two \\input{sub/three}\\include{top}\\subfile{latex.out/built}\\subfix{../elsewhere/last}\\input{./v1.intro}\\input{gone}\\input{../top.tex}",
+        "a/two.tex": "\\usepackage[x]{here, there}\\RequirePackage{a/inner}",
+        "a/sub/three.tex": "\\input{two}",
+        "a/there.sty": "", "here.sty": "", "a/inner.sty": "", "top.tex": "\\input{a/one}\\input{a/one.tex}", "built.tex": "", "last.tex": "", "a/v1.intro.tex": "", "two.tex": "", "a/last": "",
+    }
+    assert linked(spark, files) == {
+        ("a/one.tex", "a/two.tex", False), ("a/one.tex", "a/sub/three.tex", False), ("a/one.tex", "top.tex", False), ("a/one.tex", "built.tex", False), ("a/one.tex", "last.tex", True),
+        ("a/one.tex", "a/v1.intro.tex", False), ("a/two.tex", "here.sty", False), ("a/two.tex", "a/inner.sty", False), ("a/sub/three.tex", "two.tex", False), ("top.tex", "a/one.tex", False),
+    }
+    assert linked(spark, {"x.tex": ""}) == set()
+
+
+def test_deep_closure(spark):
+    """Deeper than the levels that are kept apart, with a cycle at the end."""
+    links = spark.createDataFrame([(f"p{i:02}", f"p{i + 1:02}") for i in range(12)] + [("p12", "p03")], "path string, target string")
+    got = graph.closure(spark.createDataFrame([("p01",)], "path string"), links, merge_every=3).collect()
+    assert [r["path"] for r in got] == [f"p{i:02}" for i in range(1, 13)]
+
+
+def test_analysis(spark):
+    files = spark.createDataFrame([("a.tex", "\\newcommand{\\mine}[3]{x}\\newcommand{\\plain}{y}\\providecommand\\other[1]{z}\\def\\pair#1#2{x}\\def\\none{x}\\def\\x#1{y}\\mine{a}{b}{c}\\plain\\other\\emph{x}\\left(\\strange{q}"), ("b.tex", "\\newcommand\\be{\\begin{equation}}\\def\\ee{\\end{equation}}\\newcommand\\bi{\\begin{itemize}}")], "path string, content string")
+    defined = graph.definitions(files)
+    assert {r["name"]: r["args"] for r in defined.collect()} == {"mine": 2, "other": 1, "pair": 2}
+    assert {r["name"]: (r["type"], r["env"]) for r in graph.aliases(files).collect()} == {"be": ("begin", "equation"), "ee": ("end", "equation")}
+    known, configured = (spark.createDataFrame([(x,) for x in names], "name string") for names in (["emph"], ["other"]))
+    got = {r["name"]: r["args"] for r in graph.unknown(graph.usage(files), known, configured, defined).collect()}
+    assert got == {"mine": 2, "plain": 0, "pair": 2, "none": 1, "strange": 1, "be": 1, "ee": 1, "bi": 1}
+
+
 def test_identity_similarity_against_all_pairs(spark, tmp_path):
     rng = random.Random(3)
     base = [" ".join(rng.choice(["la", "de", "of", "river", "not", "sun", "transformations"]) for _ in range(n)) for n in (3, 8, 20, 60)]
-    base += ["今天天气很好我们去公园散步吧", "мы идём в лес", "a" * 12, "x", "", "ab" * 150]
-    edited = [t[: len(t) // 2] + "q" + t[len(t) // 2 :] for t in base] + [t + t[: len(t) // 2] for t in base]
-    items, docs = list(enumerate([*base, None])), list(enumerate([*base, *edited, *(t[::-1] for t in base), None]))
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base += ["今天天气很好我们去公园散步吧", "мы идём в лес", "a" * 12, "x", "ab" * 150]
+    lines = base + [t[: len(t) // 2] + "q" + t[len(t) // 2 :] for t in base] + [t + t[: len(t) // 2] for t in base] + [t[::-1] for t in base]
+    docs = [(0, "\n".join(lines)), (1, "\n".join(lines[::2])), (2, None), (3, "")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in QUERIES["identity_similarity"](spark, str(tmp_path)).collect())
-    want = sorted((i, j, r) for i, a in items if a is not None for j, b in docs if b is not None and (r := ratio(a, b)) >= 0.8)
-    assert got == want and {i for i, _, _ in got} == set(range(len(base)))
+    old, new = views.stored_lines(spark, str(tmp_path)).collect(), views.edited_lines(spark, str(tmp_path)).collect()
+    known = [{(r["namespace"], r["id"]) for r in side} for side in (old, new)]
+    want = [(o["namespace"], o["id"], n["id"], r) for o in old for n in new if o["namespace"] == n["namespace"] and (o["namespace"], o["id"]) not in known[1] and (n["namespace"], n["id"]) not in known[0] and (r := ratio(o["source_text"], n["masked_text"])) >= 0.85]
+    assert got == sorted(want) and len(got) > 5

@@ -1,9 +1,4 @@
-"""Small documents and critiques for the operators that the source tables have nothing for."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+"""Small LaTeX documents and critiques."""
 
 DOCUMENTS = {
     "main.tex": r"""\documentclass[11pt]{article}
@@ -40,15 +35,3 @@ CRITIQUES = {
     "prose": "Looks fine to me.",
     "empty": "",
 }
-
-
-def _rows(spark: SparkSession, rows: dict[str, str], key: str, value: str) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias(key), F.lit(v).alias(value)) for k, v in rows.items()))))
-
-
-def documents(spark: SparkSession) -> DataFrame:
-    return _rows(spark, DOCUMENTS, "namespace", "content")
-
-
-def critiques(spark: SparkSession) -> DataFrame:
-    return _rows(spark, CRITIQUES, "name", "text")
