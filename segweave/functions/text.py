@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,6 @@ def token_count(text: Column) -> Column:
 
 def tokens_by(encode):
     """A pandas UDF that counts tokens with ``encode`` (text to ids)."""
-    import pandas as pd
 
     @F.pandas_udf("long")
     def counted(texts: pd.Series) -> pd.Series:
@@ -48,6 +48,23 @@ def tokens_by(encode):
     return counted
 
 
+def tokenizer_count(text: Column, path: str | None = None) -> Column:
+    """Tokens by a ``tokenizers`` file, without special tokens; by default the byte-level BPE of 50k ids of the public set."""
+    import public_tokenizers
+
+    file = path or public_tokenizers.path("byte_bpe_50k.json")
+    held: list = []
+
+    def encode(t: str) -> list[int]:
+        if not held:  # once a worker
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(file))
+        return held[0].encode(t, add_special_tokens=False).ids
+
+    return tokens_by(encode)(text)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 

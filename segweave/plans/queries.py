@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import budget, critique, latex, validate
+from ..functions import budget, calls, critique, latex, prompts, validate
 from ..functions import placeholders as ph
 from ..functions.similarity import close_ratio, upper_bound
-from ..functions.text import is_linguistic, linguistic_features, namespace_of, preview, source_hash, token_count, with_linguistic
+from ..functions.text import is_linguistic, linguistic_features, namespace_of, preview, source_hash, strip, token_count, tokenizer_count, truncate_tokens, with_linguistic
 from ..operators import build, context, graph, memory, stats, sync, telemetry, translate
 from ..schema import STATUSES, TRANSITIONS, authoring_allowed, resolve_status, transition_allowed
+from ..sources import segments
 from ..sources.segments import exported, last_wins, with_positions
 from ..streaming import changelog
 from . import views
@@ -694,13 +695,16 @@ def translate_draft(spark, d):
     return translate.run_stage(one, "draft", now=now()).select("namespace", "seq", "id", "status")
 
 
-@query()
+_WORKED = "SELECT CASE WHEN status IN ('generated', 'error', 'drafted', 'critiqued') THEN CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'error' WHEN (length(text) - length(replace(text, '$', ''))) % 2 = 1 THEN 'conflict' ELSE 'refined' END ELSE status END AS status, count(*) AS n FROM one GROUP BY 1"
+
+
+@query(_WORKED, SEGMENTS_SQL, "one AS (SELECT namespace, id, arg_max(status, seq) AS status, arg_max(source_text, seq) AS text FROM seg GROUP BY 1, 2)")
 def translate_workflow(spark, d):
     one = last_wins(views.segments(spark, d).withColumnRenamed("seq", "line")).select(*views.SEGMENTS.names)
     return translate.workflow(one, now=now()).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT namespace, id, min(seq) AS seq, CASE WHEN arg_max(status, seq) IN ('generated', 'error') THEN arg_max(source_text, seq) END AS answer FROM seg GROUP BY 1, 2", SEGMENTS_SQL)
 def translate_sequential(spark, d):
     one = last_wins(views.segments(spark, d).withColumnRenamed("seq", "line")).select(*views.SEGMENTS.names)
     return translate.sequential(one)
@@ -719,3 +723,80 @@ def changelog_stream_compaction(spark, d):
     schema = table(spark, d, "events").schema
     changelog.follow(spark, f"{d}/event[s].parquet", schema, target, checkpoint, ["event_type", "event_id"], "ts").awaitTermination()
     return changelog.current(spark, target, ["event_type", "event_id"], "ts").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").cast("long").alias("last_event"))
+
+
+# ---------------------------------------------------------------- files, prompts and calls
+
+
+def _shared(spark, name):
+    """A new folder below the one that all executors share."""
+    return f"{changelog.places(spark)[0]}-{name}"
+
+
+@query("SELECT namespace, min(seq) AS seq, id, arg_max(source_text, seq) AS source_text, arg_max(status, seq) AS status, arg_max(translation, seq) AS translation FROM seg GROUP BY 1, 3", SEGMENTS_SQL)
+def tm_file_round_trip(spark, d):
+    """Segments written as JSON lines, a file for each namespace, and loaded again; of lines with one id the last wins."""
+    folder, rows = _shared(spark, "lines"), views.segments(spark, d)
+    segments.save(rows, folder)
+    files = spark.read.text(folder, wholetext=True).select("namespace", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "value"))
+    found = last_wins(segments.strict(segments.decode(files))).drop("seq")
+    return found.join(rows.groupBy("namespace", "id").agg(F.min("seq").alias("seq")), ["namespace", "id"]).select("namespace", "seq", "id", "source_text", "status", "translation")
+
+
+@query("SELECT id, translation, status FROM stored WHERE status <> 'deprecated' AND translation <> ''", LINES_SQL)
+def tm_exchange_csv(spark, d):
+    """The exchange file in CSV, written and read again; texts without a character beside blanks are none."""
+    folder = _shared(spark, "csv")
+    segments.write_csv(views.stored_lines(spark, d), folder)
+    return segments.read_csv(spark, folder).where("translation is not null").select("id", "translation", "status")
+
+
+@query("SELECT doc_id, 'Translate:' || chr(10) || text AS prompt, CAST(length('Translate:' || chr(10) || text) // 4 + length('You translate from ' || lang || ' to en. The texts are about ' || source || '.' || chr(10) || 'Keep every tag such as <macro id=\"1\"/> exactly once and in a fitting place. Give the translation alone.') // 4 AS BIGINT) AS tokens FROM (SELECT doc_id, lang, source, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM documents) WHERE text <> ''")
+def prompt_render(spark, d):
+    values = {"source_lang": F.col("lang"), "target_lang": F.lit("en"), "domain": F.col("source"), "source": F.col("text")}
+    rows = table(spark, d, "documents").where(strip(F.col("text")) != "")
+    return rows.select("doc_id", prompts.rendered(prompts.source_of("draft"), **values).alias("prompt"), prompts.fixed_tokens("draft", **values).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN CAST(ceil(fixed * 1.1::DOUBLE) AS BIGINT) + 48 + most > 4096 THEN 'Prompt plus reserved output exceeds model context limit. effective_prompt=' || CAST(CAST(ceil(fixed * 1.1::DOUBLE) AS BIGINT) AS VARCHAR) || ', overhead=48, reserved_output=' || CAST(most AS VARCHAR) || ', limit=4096, raw_prompt_tokens=' || CAST(fixed AS VARCHAR) || '.' ELSE '' END AS error FROM sized", _SIZED)
+def call_footprint(spark, d):
+    error = calls.footprint_error(F.col("fixed"), F.col("most"), F.lit(4096), F.lit(1.1), F.lit(48))
+    return _sized(spark, d).select("doc_id", F.coalesce(error, F.lit("")).alias("error"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) // 4 <= 40 THEN text ELSE rtrim(substr(text, 1, 163), chr(32) || chr(9) || chr(10) || chr(13)) END AS text FROM documents")
+def truncated_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", truncate_tokens(F.col("text"), F.lit(40)).alias("text"))
+
+
+@query(r"SELECT path, CASE WHEN contains(content, '\documentclass[11pt]{article}') THEN replace(content, '\documentclass[11pt]{article}', '\documentclass[11pt]{article}' || chr(10) || '% injected lines' || chr(10) || '\usepackage{x}' || chr(10) || '% end of injected lines' || chr(10)) ELSE content END AS content FROM tex", TEX_SQL)
+def preamble_injection(spark, d):
+    return views.tex_files(spark, d).select("path", build.injected(F.col("content"), [r"\usepackage{x}"]).alias("content"))
+
+
+@query("SELECT bj.namespace, bj.seq, bj.id, coalesce(CASE WHEN use AND length(raw_text) % 4 = 0 THEN 'source changed since last sync' END, '') AS error FROM bj", LINES_SQL, _BUILD)
+def build_stale(spark, d):
+    """What a build says of blocks whose stored hash is another one: for every fourth length."""
+    rows = views.lines(spark, d).withColumn("source_hash", source_hash(F.col("raw_text"))).withColumn("id", F.substring("source_hash", 1, 12))
+    rows = rows.withColumn("placeholders", F.create_map().cast("map<string,string>")).withColumn("translatable", F.lit(True))
+    rows = rows.withColumn("source_hash", F.when(F.char_length("raw_text") % 4 == 0, F.concat(F.lit("x"), "source_hash")).otherwise(F.col("source_hash")))
+    stored = views.stored_lines(spark, d).where(F.char_length("source_text") % 13 != 0)
+    return build.joined(rows, stored).select("namespace", "seq", "id", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("SELECT conv_id, turn, 'locally_estimated' AS usage_source, CAST(length(text) // 4 AS BIGINT) AS prompt_tokens, CASE WHEN turn % 2 = 0 THEN CAST(turn AS BIGINT) ELSE CAST(length(role) // 4 AS BIGINT) END AS completion_tokens FROM conversations")
+def telemetry_usage(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"), F.col("role").alias("content"), F.lit(None).cast("long").alias("prompt_tokens"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("long")).alias("completion_tokens"))
+    made = telemetry.record_of(rows.withColumns({"id": F.col("conv_id").cast("string"), "segment_id": F.col("turn").cast("string")}))
+    return made.select(F.col("id").cast("long").alias("conv_id"), F.col("segment_id").cast("long").alias("turn"), "usage_source", "prompt_tokens", "completion_tokens")
+
+
+@query()
+def budget_messages(spark, d):
+    return context.messages(context.capacity(views.segments(spark, d), 512), 512)
+
+
+@query()
+def segment_tokens_bpe(spark, d):
+    """Token counts of whole texts by a public tokenizer, in place of a quarter of the length."""
+    return table(spark, d, "documents").select("doc_id", tokenizer_count(F.col("text")).alias("n_tokens"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -41,6 +42,21 @@ def follow(spark: SparkSession, source: str, schema, target: str, checkpoint: st
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append(changes: DataFrame, target: str, number: int, keys: list[str], order: str, out: str | None = None, telemetry: DataFrame | None = None, telemetry_target: str | None = None) -> int:
+    """Writes one batch of changes under its number; compacts to ``out`` where that is given, which ends a run of batches.
+
+    Gives the milliseconds that took. Telemetry of the batch is written after it, with that time as its checkpoint_ms.
+    """
+    began = time.perf_counter()
+    latest(changes, keys, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
+    if out is not None:
+        compact(changes.sparkSession, target, out, keys, order)
+    took = int((time.perf_counter() - began) * 1000)
+    if telemetry is not None:
+        telemetry.withColumn("checkpoint_ms", F.lit(took).cast("long")).write.mode("overwrite").parquet(f"{telemetry_target}/batch={number}")
+    return took
+
+
 def current(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
     """The state after all batches."""
     return latest(spark.read.parquet(target).drop("batch"), keys, order)
