@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import map_rows
 
-LEAF = 8192
+LEAF = 1024
 CUT = regex.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\n\r])")
 
 

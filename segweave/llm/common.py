@@ -98,7 +98,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; component is the least node reachable.
 
     Alternating large-star and small-star rounds: a node's neighbours are only ever reduced to their minimum
@@ -111,7 +111,7 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 50)
 
     now, path = tables.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = mark(now)
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, path_1 = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large, path_2 = tables.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
@@ -125,7 +125,6 @@ def connected_components(edges: DataFrame, tables: Tables, max_rounds: int = 50)
         if same:
             stars = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
             return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def tiles_of(block: Column, blocks: Column) -> Column:
