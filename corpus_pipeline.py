@@ -20,8 +20,8 @@ from segweave.llm import langid, ngram_join, packing, suffix_dedup, toxicity
 from segweave.llm.common import Tables, held_out
 from segweave.llm.repeats import KEY, numbered
 
-#: Bytes of a repeated passage that the suffix-array stage removes: 50 words of three letters and a blank each.
-WIDTH = 200
+#: Bytes of a repeated passage that the suffix-array stage removes: 50 words of four letters and a blank each.
+WIDTH = 250
 
 
 def beside(docs: DataFrame, *more: str) -> DataFrame:
