@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import placeholders as ph
@@ -51,8 +51,12 @@ def documents(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
 def skips(rows: DataFrame) -> DataFrame:
     """Per namespace: how many blocks are skipped, and the first five with their reasons."""
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.substring("id", 1, 8), F.lit("("), F.col("skipped"), F.lit(")")).alias("t")))), 1, 5)
-    return rows.where("skipped is not null").groupBy("namespace").agg(F.count("*").alias("n_skipped"), F.array_join(F.transform(listed, lambda p: p["t"]), ", ").alias("first"))
+    some = rows.where("skipped is not null")
+    nth = F.row_number().over(Window.partitionBy("namespace").orderBy("seq"))
+    # Spark keeps five a namespace and task before it moves them
+    five = some.select("namespace", "seq", F.concat(F.substring("id", 1, 8), F.lit("("), F.col("skipped"), F.lit(")")).alias("t")).withColumn("nth", nth).where("nth <= 5")
+    listed = five.groupBy("namespace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "t"))), lambda p: p["t"]), ", ").alias("first"))
+    return some.groupBy("namespace").agg(F.count("*").alias("n_skipped")).join(listed, "namespace")
 
 
 def injected(text: Column, lines: list[str]) -> Column:

@@ -738,8 +738,7 @@ def tm_file_round_trip(spark, d):
     """Segments written as JSON lines, a file for each namespace, and loaded again; of lines with one id the last wins."""
     folder, rows = _shared(spark, "lines"), views.segments(spark, d)
     segments.save(rows, folder)
-    files = spark.read.text(folder, wholetext=True).select("namespace", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "value"))
-    found = last_wins(segments.strict(segments.decode(files))).drop("seq")
+    found = last_wins(segments.strict(segments.decode(segments.read_lines(spark, folder)))).drop("seq")
     return found.join(rows.groupBy("namespace", "id").agg(F.min("seq").alias("seq")), ["namespace", "id"]).select("namespace", "seq", "id", "source_text", "status", "translation")
 
 

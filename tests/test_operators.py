@@ -47,6 +47,24 @@ def test_load(spark, tmp_path):
     assert spark.read.text(out).count() == 2
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Line numbers hold where a file is read in many splits."""
+    lines = [f"{{\"n\": {i}}}" + " " * (i % 50) if i % 7 else "" for i in range(5000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("x\r\n\r\ny")
+    (tmp_path / "c.jsonl").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "8k")
+        rows = src.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r["line"]: r["value"] for r in rows if r["namespace"] == "a"} == dict(enumerate(lines, 1))
+    assert sorted((r["line"], r["value"]) for r in rows if r["namespace"] == "b") == [(1, "x"), (2, ""), (3, "y")] and len(rows) == 5003
+
+
 def test_reset_prune_export(spark, inventory, tmp_path):
     assert statuses(memory.reset(inventory, now=now()))["seg4"] == "generated"
     forced = memory.reset(inventory, force=True, now=now())
