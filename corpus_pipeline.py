@@ -35,17 +35,22 @@ def restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     return rows.select(*((changed | {c: x for c, x in old.items() if c not in changed})[c].alias(c) for c in docs.columns))
 
 
+def written(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """The stage's rows as a table, so that the pass over whole texts runs with the small batches that ``Tables`` sets."""
+    return Tables(spark, name).save(rows)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that language ID rejects go. Learns from rows that are not held out."""
     model = langid.fit(docs, where=~held_out())
-    return restored(langid.annotate(beside(docs), model).where(~F.col("rejected")), docs)
+    return written(spark, "language", restored(langid.annotate(beside(docs), model).where(~F.col("rejected")), docs))
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic. Learns from labelled rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, where=~held_out())
-    return restored(toxicity.annotate(beside(docs), model).where("predicted = 0"), docs)
+    return written(spark, "clean", restored(toxicity.annotate(beside(docs), model).where("predicted = 0"), docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,14 +58,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = ngram_join.join(docs.select("doc_id", "text"), Tables(spark, "near")).where("kept").select(*KEY).distinct()
     # rows equal in id and text become one before they move
     once = numbered(beside(docs), "doc_id", "text", "own").groupBy(*KEY).agg(F.first(F.struct("text", "own")).alias("of"))
-    return restored(once.join(kept, KEY).select("of.text", "of.own"), docs)
+    return written(spark, "once", restored(once.join(kept, KEY).select("of.text", "of.own"), docs))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated strings of ``WIDTH`` bytes; bytes of a code point that was cut through go too."""
     done = suffix_dedup.dedup(beside(docs), Tables(spark, "repeats"), WIDTH, carry=["own"], as_text=True)
     length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return restored(done.withColumnRenamed("kept", "text"), docs, n_chars=length)
+    return written(spark, "left", restored(done.withColumnRenamed("kept", "text"), docs, n_chars=length))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,10 +87,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table documents."""
-    tables = Tables(spark, "pipeline")
+    """The last stage's rows for the table documents. Each stage but the last has written its rows, which the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
+    for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        docs = docs if at == len(STAGES) - 1 else tables.save(docs)
     return docs
