@@ -100,13 +100,15 @@ def imported(segments: DataFrame, rows: DataFrame, now: Column = None) -> DataFr
     """
     last = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("translation", "status"), "at").alias("new"))
     both = segments.join(last, "id", "left").withColumn("_new_text", F.coalesce(F.col("new.translation"), F.lit("")))
-    both = with_validity(with_validity(both, "source_text", "_new_text", "_new_valid"), "source_text", "translation", "_old_valid")
+    # only rows of the file are validated; one that changes nothing but the status has the stored text, so one check serves both
+    both = both.withColumn("_checked", F.when(F.col("new").isNotNull(), F.col("source_text")))
+    both = with_validity(both, "_checked", "_new_text", "_valid")
     text, given = F.col("_new_text"), F.lower(F.col("new.status"))
     ready = F.col("new").isNotNull() & (text != "") & ~is_any(F.col("status"), IMMUTABLE)
     other = F.col("translation") != text
     no = F.lit(False)
-    writes = ready & other & transition_allowed(F.col("status"), F.lit("reviewed"), no) & F.col("_new_valid")
-    moves = ready & ~other & is_any(given, STATUSES) & (given != F.col("status")) & transition_allowed(F.col("status"), given, no) & (~is_any(given, BUILDABLE) | (F.col("translation") == "") | F.col("_old_valid"))
+    writes = ready & other & transition_allowed(F.col("status"), F.lit("reviewed"), no) & F.col("_valid")
+    moves = ready & ~other & is_any(given, STATUSES) & (given != F.col("status")) & transition_allowed(F.col("status"), given, no) & (~is_any(given, BUILDABLE) | (F.col("translation") == "") | F.col("_valid"))
     marked = both.withColumn("_writes", F.coalesce(writes, no)).withColumn("_moves", F.coalesce(moves, no))
     outcome = F.when(F.col("_writes") | F.col("_moves"), "updated").when(F.col("new").isNotNull(), "skipped").alias("outcome")
     value = {
