@@ -115,7 +115,8 @@ def without_self(rows: np.ndarray, near: np.ndarray) -> np.ndarray:
         own = np.flatnonzero(near == j)
         if len(own) > 1:
             total = rows[own].sum(0).astype(np.float64)
-            along = rows[own] @ total
+            # in slices, as the product makes doubles of its rows
+            along = np.concatenate([rows[own[at : at + 64]] @ total for at in range(0, len(own), 64)])
             cos[own] = (along - 1) / np.sqrt(np.maximum(total @ total - 2 * along + 1, 1e-12))
     return cos
 
@@ -191,10 +192,13 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
     model = LangModel(sorted({r["lang"] for r in rows}), idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, np.float32))
     parts, owner, floor, bend = [], [], [], []
     for at, lang in enumerate(model.langs):
-        own = [unpacked(c) for c in sorted([bytes(r["counts"]) for r in rows if r["lang"] == lang][: 2 * per_lang])]
-        vectors = np.stack([model.vector(c) for c in own])
+        own = sorted([bytes(r["counts"]) for r in rows if r["lang"] == lang][: 2 * per_lang])
+        vectors, filled = np.empty((len(own), DIM), np.float32), np.empty(len(own), np.int64)
+        for i, data in enumerate(own):  # one at a time: the driver holds them once, as vectors
+            counted = unpacked(data)
+            vectors[i], filled[i] = model.vector(counted), np.count_nonzero(counted)
         centres, near = kmeans(vectors, k)
-        least = limits(without_self(vectors, near), np.array([np.count_nonzero(c) for c in own]), tail, margin)
+        least = limits(without_self(vectors, near), filled, tail, margin)
         for centre in centres:
             parts.append(centre)
             owner.append(at)

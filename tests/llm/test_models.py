@@ -1,13 +1,16 @@
 """Language ID, toxicity and fingerprints: held-out accuracy, defined cases, plain versions."""
 
 import hashlib
+import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from segweave.llm import langid, order_minhash, toxicity
+from segweave.llm.common import Tables
 
 from .plain import table, texts
 
@@ -173,3 +176,34 @@ def test_fingerprint_edges(spark):
     assert order_minhash.edit_report(one.limit(0)).count() == 0
     rows = order_minhash.edit_report(spark.createDataFrame([(None, None), (None, ""), (3, "x"), (3, "x")], "doc_id long, text string")).collect()
     assert len(rows) == 4 and sum(r["fingerprint"] == "" for r in rows) == 2
+
+
+def test_language_fits_in_little_memory(spark):
+    """The driver holds the vectors of a language once, and one copy of a cluster."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, prose("bb", rng), "bb") for i in range(600)], "doc_id long, text string, lang string")
+    tracemalloc.start()
+    langid.fit(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.4 * 600 * langid.DIM * 4, peak
+
+
+def test_toxicity_sample_comes_deflated(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(800)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen, sent = [], []
+    monkeypatch.setattr(toxicity, "train", lambda got: seen.extend(got))
+    monkeypatch.setattr(toxicity, "unpacked", lambda data, f=toxicity.unpacked: sent.append(len(data)) or f(data))
+    toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert sorted((p.tolist(), y) for p, y in seen) == sorted((toxicity.terms(t).tolist(), y) for _, t, y in rows)
+    assert sum(sent) < 0.6 * sum(p.nbytes for p, _ in seen) and all(p.itemsize == 4 for p, _ in seen)
+    assert toxicity.unpacked(toxicity.packed(toxicity.terms(""))) == b""
+
+
+def test_tables_leave_no_marker(spark):
+    _, path = (tables := Tables(spark, "marker")).write(spark.range(3))
+    names = os.listdir(path.removeprefix("file:"))
+    assert any(n.startswith("part-") for n in names) and "_SUCCESS" not in names
+    tables.close()
