@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -55,6 +56,28 @@ def test_bytes(spark, width, hot):
     assert got == plain_bytes(docs, width)
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_contexts_of_bytes_are_no_table(spark, hot, monkeypatch):
+    """They are as large as the texts, and writing them took the most memory."""
+    written, write = [], Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df: written.extend(df.columns) or write(self, df))
+    suffix_dedup.dedup(table(spark, texts(40, 50)), Tables(spark, "t"), 40, hot=hot)
+    assert "windows" in written and ("piece" in written) == (hot == 1)
+    assert "context" not in written
+
+
+def test_tables_start_no_process_for_checksums(spark):
+    """No checksum file beside a table's files on a local disk, yet changed bytes are found."""
+    df, path = Tables(spark, "t").write(spark.range(0, 1000, 1, 1))
+    (file,) = Path(path.removeprefix("file:")).iterdir()
+    data = bytearray(file.read_bytes())
+    assert df.agg({"id": "sum"}).first()[0] == 499500
+    data[len(data) // 4] ^= 1
+    file.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        df.agg({"id": "sum"}).first()
+
+
 @pytest.mark.parametrize(("width", "hot"), [(50, 512), (50, 1), (50, 3), (4, 512), (1, 512)])
 def test_words(spark, width, hot):
     df = table(spark, texts(width, 50))
